@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules
+from tessera.llm import mixing, packing, quality_rules, tokens
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_cube_mixing": mixing.op3_cube_mixing,
+    "op5_length_histogram": tokens.op5_length_histogram,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
 }
 
 ORACLE_SQL = {
