@@ -102,13 +102,16 @@ def land(p: np.ndarray, size: np.ndarray) -> None:
     p[:] = np.round(p)
 
 
-def _flights(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
-    frame = frame.sort_values(["__id", "size", "__row"], kind="stable")
-    p, size = frame["__p"].to_numpy().copy(), frame["size"].to_numpy().astype(float)
-    flight(p, size, LANDING if last else 2)
-    if last:
-        land(p, size)
-    return frame.assign(__p=p)
+def _flight_of_block(last: bool):
+    def fly(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["__id", "size", "__row"], kind="stable")
+        p, size = frame["__p"].to_numpy().copy(), frame["size"].to_numpy().astype(float)
+        flight(p, size, LANDING if last else 2)
+        if last:
+            land(p, size)
+        return frame.assign(__p=p)
+
+    return fly
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", size: str = "size") -> DataFrame:
@@ -131,8 +134,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
         last = most_open <= block
         blocks = largest.withColumn("__blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("__n") / block))).drop("__n")
         blocks = F.broadcast(blocks) if small else blocks
-        dealt = moving.join(blocks.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__block", F.pmod(F.xxhash64("__id", "size", "__row"), F.col("__blocks"))).select("__source", "__id", "size", "__row", "__p", "__block")
-        flown = cut(dealt.groupBy("__source", "__block").applyInPandas(lambda frame, last=last: _flights(frame, last), schema))
+        salt = F.lit(0).cast("long")
+        if not last:  # rows that repeat more often than a block holds are spread; any of them stands for the others
+            often = moving.groupBy("__id", "size").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block).select(F.col("__id").alias("__i"), F.col("size").alias("__s"))
+            moving = moving.join(often, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("size") == F.col("__s")), "left")
+            salt = F.when(F.col("__s").isNotNull(), F.col("__row")).otherwise(salt)
+        dealt = moving.withColumn("__salt", salt).join(blocks.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of")))
+        dealt = dealt.withColumn("__block", F.pmod(F.xxhash64("__id", "size", "__salt"), F.col("__blocks"))).select("__source", "__id", "size", "__row", "__p", "__block")
+        flown = cut(dealt.groupBy("__source", "__block").applyInPandas(_flight_of_block(last), schema))
         done = (F.col("__p") <= EPS) | (F.col("__p") >= 1 - EPS)
         settled.append(flown.where(done).select("__row", F.col("__p").alias("__one")))
         if last:
