@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, packing, quality_rules, tokens
+from tessera.llm import mixing, packing, quality_rules, tokens, toxicity, url_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_kneser_ney_toxicity": toxicity.op2_kneser_ney_toxicity,
     "op3_cube_mixing": mixing.op3_cube_mixing,
     "op5_length_histogram": tokens.op5_length_histogram,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_link_graph_urls": url_rules.op8_link_graph_urls,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op8_link_graph_urls": url_rules.ORACLE_SQL,
 }
