@@ -30,7 +30,7 @@ from tessera.llm.common import cut, n_words, read, workers_import
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents in one flight.
-BLOCK = 50_000
+BLOCK = 5_000
 LANDING = 14
 #: Sources of which the targets are sent to every executor; beyond, Spark chooses the join.
 BROADCAST_SOURCES = 100_000
