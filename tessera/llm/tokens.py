@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, workers_import
+from tessera.llm.common import cut, read, workers_import
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -79,7 +79,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     docs_longer: the suffix sum; truncated_tokens: the corpus' tokens if each document is cut to
     length; share_at_most: docs_at_most over all documents.
     """
-    exact = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("__range", F.expr(f"length div {RANGE}"))
+    exact = cut(lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("__range", F.expr(f"length div {RANGE}")))
     ranges = exact.groupBy("__range").agg(F.sum("n_docs").alias("__d"), F.sum(F.col("length") * F.col("n_docs")).alias("__t"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range of lengths
     everything = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
