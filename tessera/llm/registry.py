@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, packing, quality_rules, tokens, toxicity, url_rules
+from tessera.llm import mixing, packing, quality_rules, tokens, toxicity, url_rules, vector_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,9 +11,11 @@ QUERIES = {
     "op5_length_histogram": tokens.op5_length_histogram,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_link_graph_urls": url_rules.op8_link_graph_urls,
+    "op9_product_quantisation": vector_dedup.op9_product_quantisation,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op8_link_graph_urls": url_rules.ORACLE_SQL,
+    "op9_product_quantisation": vector_dedup.ORACLE_SQL,
 }
