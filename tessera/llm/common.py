@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +31,41 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names (a temporary one only where unset, as in tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """__doc (a struct of all columns of docs) and __place, a string that names the row in its file.
+
+    The place is the same whenever the table is read. What is not a table of files is written first.
+    """
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("__place")
+    try:
+        return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), place)
+    except AnalysisException:
+        docs = written(docs)
+        return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), place)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), "")

@@ -7,6 +7,7 @@ one edge from each node to the smallest of its component.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,21 @@ def components(edges: DataFrame) -> DataFrame:
 def _mark(stars: DataFrame) -> tuple:
     row = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     return row[0], row[1]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of links that join what the ones before have not joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(k)
+    return kept

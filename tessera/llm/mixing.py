@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, n_words, read, workers_import
+from tessera.llm.common import cut, n_words, placed, read, workers_import
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -162,10 +162,8 @@ def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it; the columns of docs stay."""
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    # the number of a row in the written table: the same in both readings, whatever rows repeat
-    place = docs.select(*kept, F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("__place"))
-    sized = cut(place.select("doc_id", "source", n_words(F.col("text")).alias("size"), "__place"))
+    rows = placed(docs)
+    sized = cut(rows.select("__doc.doc_id", "__doc.source", n_words(F.col("__doc.text")).alias("size"), "__place"))
     copies = mix(sized).where("copies > 0").select(F.col("__place").alias("__taken"), "copies")
-    taken = place.join(copies, F.col("__place") == F.col("__taken"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    taken = rows.join(copies, F.col("__place") == F.col("__taken"))
+    return taken.select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__doc.*")

@@ -151,7 +151,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     measured = cut(measure(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", *METRICS))
     cutoffs = cut(certify(measured, labels))
-    return judge(measure(docs), cutoffs).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")).select("__doc", "__doc.lang", "__doc.text")
+    return judge(measure(whole), cutoffs).where("kept").select("__doc.*")
 
 
 _W = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

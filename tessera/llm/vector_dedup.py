@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, read, workers_import
-from tessera.llm.graph import components
+from tessera.llm.graph import components, forest
 
 COSINE = 0.93
 SAMPLE = 20_000
@@ -111,24 +111,6 @@ def unit(values: pa.Array, size: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Places of links that join what the ones before have not joined."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(k)
-    return kept
-
-
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vectors (vec_id long, embedding array of float or double, label) with n_links, component_id and kept."""
     workers_import(vectors.sparkSession)
