@@ -152,7 +152,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     measured = cut(measure(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", *METRICS))
     cutoffs = cut(certify(measured, labels))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")).select("__doc", "__doc.lang", "__doc.text")
-    return judge(measure(whole), cutoffs).where("kept").select("__doc.*")
+    # a generator between the metrics and the verdict: pushed below it, the filter would repeat every metric many times
+    known = measure(whole).select("__doc", "lang", F.inline(F.array(F.struct(*METRICS))))
+    return judge(known, cutoffs).where("kept").select("__doc.*")
 
 
 _W = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
