@@ -193,7 +193,7 @@ PRESTO: dict[str, Build] = {name: builtin(name) for name in BUILT_IN} | {k: v fo
     "bitwise_and": lambda a, b: a.bitwiseAND(b), "bitwise_or": lambda a, b: a.bitwiseOR(b), "bitwise_xor": lambda a, b: a.bitwiseXOR(b), "bitwise_not": F.bitwise_not, "bit_count": lambda x, bits=None: F.bit_count(masked(x, bits)).cast("bigint"), "bit_days_count": SPARK["bit_days_count"],
     "bitwise_arithmetic_shift_right": builtin("shiftright"), "bitwise_left_shift": builtin("shiftleft"), "bitwise_right_shift": builtin("shiftrightunsigned"), "bitwise_right_shift_arithmetic": builtin("shiftright"), "bitwise_logical_shift_right": lambda x, n, bits=None: F.call_function("shiftrightunsigned", masked(x, bits), n), "bitwise_shift_left": lambda x, n, bits=None: masked(F.call_function("shiftleft", x, n), bits),
     "eq": lambda a, b: a == b, "neq": lambda a, b: a != b, "lt": lambda a, b: a < b, "gt": lambda a, b: a > b, "lte": lambda a, b: a <= b, "gte": lambda a, b: a >= b, "distinct_from": lambda a, b: ~a.eqNullSafe(b), "between": lambda a, b, c: a.between(b, c),
-    "to_unixtime": lambda ts: ts.cast("double"), "from_unixtime": F.timestamp_seconds, "date": F.to_date, "timezone_hour": lambda z: F.regexp_extract(z.getField("tz"), "^([+-]?\\d+):", 1).cast("int"), "timezone_minute": lambda z: F.regexp_extract(z.getField("tz"), ":(\\d+)$", 1).cast("int"),
+    "to_unixtime": lambda ts: ts.cast("timestamp").cast("double"), "from_unixtime": F.timestamp_seconds, "date": F.to_date, "timezone_hour": lambda z: F.regexp_extract(z.getField("tz"), "^([+-]?\\d+):", 1).cast("int"), "timezone_minute": lambda z: F.regexp_extract(z.getField("tz"), ":(\\d+)$", 1).cast("int"),
     "week": F.weekofyear, "week_of_year": F.weekofyear, "millisecond": millisecond, "day_of_month": F.dayofmonth, "dow": lambda d: F.weekday(d) + 1, "day_of_week": lambda d: F.weekday(d) + 1, "doy": F.dayofyear, "day_of_year": F.dayofyear,
     "yow": lambda d: F.extract(F.lit("YEAROFWEEK"), d), "year_of_week": lambda d: F.extract(F.lit("YEAROFWEEK"), d), "last_day_of_month": F.last_day, "date_trunc": builtin("date_trunc"),
     "date_add": lambda u, n, ts: timestamp_step(u, n, ts), "timestampadd": lambda u, n, ts: timestamp_step(u, n, ts), "date_diff": lambda u, a, b: F.timestamp_diff(u, a, b), "timestampdiff": lambda u, a, b: F.timestamp_diff(u, a, b),
