@@ -1,0 +1,105 @@
+import hashlib
+import random
+import re
+
+import pytest
+from cases import awkward, docs
+
+from tessera.llm import pii as P
+from tessera.llm import secrets as S
+from tessera.llm.spans import apart, redact
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def pii_spans(t):
+    out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(t)] + [(m.start(), m.end(), "ip") for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    only = lambda m: re.sub("[^0-9]", "", m[0])
+    out += [(m.start(), m.end(), "card") for m in CARD.finditer(t) if 14 <= len(only(m)) <= 19 and luhn(only(m))] + [(m.start(), m.end(), "phone") for m in PHONE.finditer(t) if 10 <= len(only(m)) <= 15]
+    return sorted(out, key=lambda s: (s[0], P.KINDS.index(s[2])))
+
+
+def secret_spans(t):
+    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 12] + [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(out, key=lambda s: (s[0], S.KINDS.index(s[2])))
+
+
+def test_base_pii_equals_patterns():
+    rng = random.Random(4)
+    for _ in range(20_000):
+        t = "".join(rng.choice(list("@.+()- \n9012aé,%_") + ["4111111111111111", "a@b.c", "10.0.0.1", "+1 415 555 0000"]) for _ in range(rng.randint(0, 14)))
+        assert P.base_spans(t) == pii_spans(t), t
+
+
+def test_base_secrets_equal_patterns():
+    rng = random.Random(5)
+    parts = ["password", "ToKen", "api_key", "APIKEY", '="', ": ", " = ", " ", "AKIA", "ABCDEFGH12", "0123abcdef", "abcde", "é", "\n", "ſecret", ".", "xyzXYZ+/", "'"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert S.base_spans(t) == secret_spans(t), t
+
+
+@pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000, "@" * 50_000, "+1" * 50_000, "0123456789abcdef" * 5000, "a@" * 50_000, "1." * 50_000, "token=" * 20_000])
+def test_long_runs_end_soon(text):
+    P.find(text, *P.model())
+    S.find(text, S.model())
+
+
+def test_boosting_on_unseen_examples():
+    import numpy as np
+
+    trees, cuts = P.model()
+    held = P.examples(1500, 77)
+    chosen = trees.predict(np.array([P.features(*e[:4]) for e in held], float)) >= np.array([cuts[e[3]] for e in held])
+    truth = np.array([e[4] for e in held])
+    assert (chosen & truth).sum() >= 0.9 * truth.sum() and (chosen & ~truth).sum() <= 0.05 * chosen.sum()
+
+
+def test_field_on_unseen_examples():
+    field, right, wrong = S.model(), 0, 0
+    held = S.examples(600, 78)
+    for text, a, b in held:
+        found = any(x < b and a < y for x, y, _ in S.decode(text, field))
+        right += b > a and found
+        wrong += b == a and bool(S.decode(text, field))
+    assert right >= 0.95 * sum(b > a for _, a, b in held) and wrong <= 0.03 * len(held)
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    field = S.model()
+    features, _ = S.tagged("token = abc123DEF456ghi789 and more", 8, 26)
+    s = field.scores(features)[:6]
+    score = lambda path: field.first[path[0]] + sum(s[k][t] for k, t in enumerate(path)) + sum(field.moves[a, b] for a, b in zip(path, path[1:], strict=False))
+    assert tuple(field.viterbi(features[:6])) == max(itertools.product(range(3), repeat=len(s)), key=score)
+
+
+def test_scans_on_awkward_rows(spark):
+    rows = [(1, "mail me: ann.b@mail.example.com or +1 (415) 555-2671 token = \"0123456789abcdef0123\""), (2, None), (3, ""), (2, None)] + [(r[0], r[1]) for r in awkward()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for scan, spans in ((P.scan, pii_spans), (S.scan, secret_spans)):
+        out = scan(df).collect()
+        assert len(out) == len(rows)
+        want = sorted((str(d), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans(t or "")).encode()).hexdigest()) for d, t in rows)
+        assert sorted((str(r["doc_id"]), r["base_sha256"]) for r in out) == want
+        assert scan(df.limit(0)).count() == 0
+    clean = [r for r in S.redact_secrets(df).collect() if r["doc_id"] == 1 and "mail" in r["text"]]
+    assert clean[0]["text"].endswith("[ASSIGN]\"") and P.scan(df, redacted=True).where("doc_id = 1").first()["text"].startswith("mail me: [EMAIL] or [PHONE]")
+
+
+def test_secret_stage(spark):
+    out = S.stage(spark, docs(spark), "")
+    assert out.columns == docs(spark).columns and out.count() == len(awkward())
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
+
+
+def test_span_helpers():
+    assert redact("abcdef", [(1, 3, "x"), (2, 4, "y")]) == "a[X]ef" and redact("ab", []) == "ab"
+    assert apart([(0, 2, "a"), (1, 3, "b"), (5, 6, "c")], [(6, 9, "d")]) == [(0, 2, "a"), (5, 6, "c")]
