@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
+ROWS_A_TASK = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long; loops and repeats allowed) to node, component: the smallest node that each node of an edge can reach.
@@ -23,16 +25,19 @@ def components(edges: DataFrame) -> DataFrame:
     stars = cut(edges.where("a is not null and b is not null and a <> b").select(up, down).distinct())
     mark = _mark(stars)
     while mark[0]:
+        # a small table is handled in few tasks, whatever the number of shuffle partitions; a large one keeps them
+        tasks = 1 + mark[0] // ROWS_A_TASK
+        stars = stars.coalesce(tasks)
         # large star: larger neighbours move to the smallest neighbour
-        both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "w")
         moved = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = moved.where("u <> v").distinct()
+        large = moved.where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         # small star: smaller neighbours and the node itself move to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         joined = large.join(low, F.col("u") == F.col("w"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        stars = cut(small.distinct())
+        stars = cut(small.coalesce(tasks).distinct().coalesce(tasks))
         before, mark = mark, _mark(stars)
         if before == mark:
             break
