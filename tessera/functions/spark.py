@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import NUMERIC
+
 Build = Callable[..., Column]
 
 
@@ -108,4 +110,5 @@ SPARK: dict[str, Build] = {name: builtin(name) for name in BUILT_IN} | {
     "icu_regexp_replace": builtin("regexp_replace"), "icu_regexp_extract": builtin("regexp_extract"), "icu_regexp_extract_all": builtin("regexp_extract_all"), "icu_regexp": builtin("rlike"), "icu_rlike": builtin("rlike"), "icu_regexp_like": builtin("regexp_like"),
     "row_constructor": lambda *a: F.struct(*a), "at_least_n_non_nulls": at_least_n_non_nulls, "cast": lambda a, kind: a.try_cast(kind), "try_cast": lambda a, kind: a.try_cast(kind),
     "get_struct_field": lambda a, name: a.getField(name), "get_array_struct_fields": lambda a, name: a.getField(name), "from_json": F.from_json, "string_repeat": builtin("repeat"), "to_title": F.initcap, "empty2null": lambda a: F.nullif(a, F.lit("")),
+    "hash_with_seed": NUMERIC["hash_with_seed"], "xxhash64_with_seed": NUMERIC["xxhash64_with_seed"], "hive_hash": NUMERIC["hive_hash"], "might_contain": NUMERIC["might_contain"],
 }

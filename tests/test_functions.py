@@ -106,3 +106,33 @@ def test_streaming_windows_equal_batch(spark):
     query = streaming.windowed(stream).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(str, spark.table("windows").collect())) == sorted(map(str, batch.collect()))
+
+
+def test_hashes_equal_the_built_ins(spark):
+    for v in ("", "abc", "naïve text", "x" * 37):
+        assert one(spark, call("spark", "hash_with_seed", 42, v)) == one(spark, F.hash(F.lit(v))) and one(spark, call("spark", "xxhash64_with_seed", 42, v)) == one(spark, F.xxhash64(F.lit(v)))
+    for v in (0, -5, 2**40):
+        assert one(spark, call("spark", "hash_with_seed", 42, F.lit(v).cast("bigint"))) == one(spark, F.hash(F.lit(v).cast("bigint")))
+    assert one(spark, call("spark", "hive_hash", "ab")) == 31 * 97 + 98
+    from tessera.functions.numeric import bloom_filter
+
+    kept = bloom_filter(range(500))
+    assert all(r["x"] for r in spark.range(500).select(call("spark", "might_contain", F.lit(kept), F.col("id")).alias("x")).collect())
+    assert sum(r["x"] for r in spark.range(1000, 3000).select(call("spark", "might_contain", F.lit(kept), F.col("id")).alias("x")).collect()) < 100
+
+
+def test_aggregates(spark):
+    from tessera.functions import aggregates as A
+
+    df = spark.createDataFrame([("a", 1, [7, 3]), ("a", 2, [5]), ("b", None, [1]), ("b", 8, [2, 9])], "k string, x long, w array<long>")
+    agg = lambda name, *a: {r["k"]: r["y"] for r in df.groupBy("k").agg(A.AGGREGATES[name](*a).alias("y")).collect()}
+    x = F.col("x")
+    assert agg("geometric_mean", x)["a"] == pytest.approx(math.sqrt(2)) and agg("max_n", x, 1) == {"a": [2], "b": [8]} and {k: sorted(v, key=str) for k, v in agg("array_agg_nulls", x).items()}["b"] == [8, None]
+    assert agg("entropy", x)["a"] == pytest.approx(math.log2(3) - 2 / 3) and agg("min_by_n", F.col("k"), x, 1)["a"] == ["a"] and agg("reduce_agg", x, F.lit(0).cast("bigint"), lambda s, v: s + v)["a"] == 3
+    assert agg("bit_days_or", F.col("w"))["a"] == [7, 5 | (3 & 1)]  # 3 loses its marker, the highest bit
+    assert {r["k"]: r["w"] for r in A.merge_arrays(df, ["k"], "w").collect()} == {"a": [12, 3], "b": [3, 9]} and {r["k"]: r["w"] for r in A.merge_arrays(df, ["k"], "w", "array_count").collect()} == {"a": [2, 1], "b": [2, 1]}
+    maps = df.select("k", F.create_map(F.lit("m"), F.coalesce("x", F.lit(0))).alias("m"))
+    assert {r["k"]: r["m"] for r in A.merge_maps(maps, ["k"], "m", "map_union_sum").collect()} == {"a": {"m": 3}, "b": {"m": 8}}
+    assert {r["k"]: r["histogram"] for r in A.histogram(df, ["k"], "x").collect()} == {"a": {1: 1, 2: 1}, "b": {8: 1}} and A.multimap(df, ["k"], "x", "w").count() == 2
+    kurt = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 10)], "x double").agg(A.AGGREGATES["presto_kurtosis"](x).alias("y")).first()["y"]
+    assert kurt == pytest.approx(3.152, abs=1e-3) and A.weighted_reservoir(df, "x", 2).count() == 2
