@@ -99,6 +99,48 @@ def salted_aggregate(df: DataFrame, keys: Sequence[str], partial: dict[str, Colu
     return first.groupBy(*keys).agg(*(c.alias(n) for n, c in final.items()))
 
 
+def python_operator(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """A function from Arrow batches to Arrow batches (or of models: load once per task inside it)."""
+    return df.mapInArrow(function, schema)
+
+
+def partition_by_hash(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    return df.repartition(n, *keys)
+
+
+def partition_round_robin(df: DataFrame, n: int) -> DataFrame:
+    return df.repartition(n)
+
+
+def partition_by_range(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    return df.repartitionByRange(n, *keys)
+
+
+def gather(df: DataFrame) -> DataFrame:
+    """One partition: only for results that are small by construction."""
+    return df.coalesce(1)
+
+
+def streaming_aggregate(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
+    """Aggregation of input grouped by keys already: a partitioning and sort on keys are kept and not repeated."""
+    return df.groupBy(*keys).agg(*(c.alias(n) for n, c in aggregates.items()))
+
+
+def record(df: DataFrame, path: str) -> DataFrame:
+    """df's rows written at path and read again: what an operator took in, to be replayed."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def write_with_statistics(df: DataFrame, path: str, fmt: str = "parquet", **statistics: Column) -> dict:
+    """Write df and return its row count and other aggregates, gathered in the same pass."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in statistics.items())).write.format(fmt).mode("overwrite").save(path)
+    return seen.get
+
+
 # --- merge on read -------------------------------------------------------------------------------
 RETRACT = ("-U", "-D")
 

@@ -14,24 +14,38 @@ from pyspark.sql import functions as F
 from tessera import operators as ops
 from tessera import sources, streaming
 from tessera.functions import PRESTO, call
+from tessera.functions import aggregates as A
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: name -> text, or (Spark text, DuckDB text)
 SQL: dict[str, str | tuple[str, str]] = {
-    "tpch_q1": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
+    "tpch_q1": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 6) AS sum_charge,
         round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
-    "tpch_q3": """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(o_orderdate AS DATE) AS o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+    "tpch_q3": """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, CAST(o_orderdate AS DATE) AS o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
         WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1995-03-15' AND l_shipdate > DATE '1995-03-15' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10""",
     "tpch_q4": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30) GROUP BY o_orderpriority",
-    "tpch_q5": """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
+    "tpch_q5": """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name""",
-    "tpch_q6": "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1996-01-01' AND l_discount BETWEEN 0.02 AND 0.09 AND l_quantity < 24",
-    "tpch_q10": "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name ORDER BY revenue DESC, c_custkey LIMIT 20",
+    "tpch_q6": "SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1996-01-01' AND l_discount BETWEEN 0.02 AND 0.09 AND l_quantity < 24",
+    "tpch_q10": "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name ORDER BY revenue DESC, c_custkey LIMIT 20",
     "tpch_q12": "SELECT l_linestatus, count_if(o_orderpriority IN ('1-URGENT', '2-HIGH')) AS high, count_if(o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS low FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY l_linestatus",
     "tpch_q13": "SELECT n_orders, count(*) AS customers FROM (SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> '1-URGENT' GROUP BY c_custkey) t GROUP BY n_orders",
     "tpch_q14": "SELECT round(100 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo FROM lineitem JOIN part ON l_partkey = p_partkey",
     "tpch_q18": "SELECT o_orderkey, round(o_totalprice, 2) AS price, sum_qty FROM orders JOIN (SELECT l_orderkey, round(sum(l_quantity), 2) AS sum_qty FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) t ON o_orderkey = l_orderkey",
+    "tpch_q7": """SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate) AS y, round(sum(l_extendedprice * (1 - l_discount)), 4) AS volume FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+        JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_nationkey IN (1, 2, 3, 4) AND n2.n_nationkey IN (5, 6, 7) GROUP BY n1.n_name, n2.n_name, year(l_shipdate)""",
+    "tpch_q8": """SELECT year(o_orderdate) AS y, round(sum(CASE WHEN n_regionkey = 1 THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+        JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY' GROUP BY year(o_orderdate)""",
+    "tpch_q9": "SELECT n_name, year(o_orderdate) AS y, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity / 100), 4) AS profit FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON n_nationkey = s_nationkey WHERE p_name LIKE '%ring%' GROUP BY n_name, year(o_orderdate)",
+    "tpch_q11": "SELECT l_partkey, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY l_partkey HAVING sum(l_extendedprice) > (SELECT sum(l_extendedprice) * 0.0008 FROM lineitem)",
+    "tpch_q15": "WITH r AS (SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' GROUP BY l_suppkey) SELECT s_suppkey, s_name, total FROM supplier JOIN r ON s_suppkey = l_suppkey WHERE total = (SELECT max(total) FROM r)",
+    "tpch_q16": "SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand <> 'Brand#2' AND p_size IN (1, 5, 11, 28) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size",
+    "tpch_q17": "SELECT round(sum(l_extendedprice) / 7.0, 2) AS yearly FROM lineitem JOIN part ON p_partkey = l_partkey JOIN (SELECT l_partkey AS k, 0.4 * avg(l_quantity) AS q FROM lineitem GROUP BY l_partkey) a ON a.k = l_partkey WHERE p_type = 'ECONOMY' AND l_quantity < q",
+    "tpch_q19": "SELECT round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (p_brand = 'Brand#2' AND l_quantity BETWEEN 1 AND 21 AND p_size < 15) OR (p_brand = 'Brand#17' AND l_quantity BETWEEN 10 AND 30 AND p_size < 30) OR (p_brand = 'Brand#5' AND l_quantity > 20)",
+    "tpch_q20": "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'red%') GROUP BY l_suppkey HAVING sum(l_quantity) > 300)",
+    "tpch_q21": "SELECT s_name, count(*) AS waiting FROM supplier JOIN lineitem a ON s_suppkey = a.l_suppkey JOIN orders ON o_orderkey = a.l_orderkey WHERE o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey) AND NOT EXISTS (SELECT 1 FROM lineitem c WHERE c.l_orderkey = a.l_orderkey AND c.l_suppkey <> a.l_suppkey AND c.l_quantity > 40) GROUP BY s_name",
+    "tpch_q22": "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) GROUP BY c_nationkey",
     "filter_project": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity > 25 AND l_returnflag <> 'N'",
     "hash_aggregation_distinct": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(*) AS n FROM lineitem GROUP BY l_returnflag",
     "aggregate_filter": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS top_open FROM orders GROUP BY o_orderpriority",
@@ -139,6 +153,52 @@ def table_write(spark, d):
     return sources.scan(spark, path, "orc", where="o_orderstatus = 'F'", columns=["o_orderkey", "o_totalprice"])
 
 
+def net_batches(batches):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pc.multiply(b.column(1), pc.subtract(1.0, b.column(2)))], ["l_orderkey", "net"])
+
+
+def folder(spark):
+    from tempfile import mkdtemp
+
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or mkdtemp(prefix="tessera-")
+
+
+def write_statistics(spark, d):
+    seen = ops.write_with_statistics(t(spark, d, "orders"), f"{folder(spark)}/orders-counted", top=F.max("o_totalprice"))
+    return spark.createDataFrame([(seen["rows"], seen["top"])], "rows long, top double")
+
+
+def event_maps(spark, d):
+    return t(spark, d, "events").select("event_type", F.create_map((C("user_id") % 5).cast("string"), C("event_id")).alias("m"))
+
+
+def map_text(c):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+
+
+def round_trip_text(spark, d):
+    path = f"{folder(spark)}/part-text"
+    sources.write_text(t(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), path, mode="overwrite")
+    return sources.read_text(spark, path, "p_partkey long, p_name string, p_retailprice double")
+
+
+def round_trip_csv_json(spark, d):
+    path, schema = f"{folder(spark)}/nation", "n_nationkey int, n_name string, n_regionkey int"
+    sources.write(t(spark, d, "nation"), f"{path}-csv", "csv", "overwrite", header=True)
+    sources.write(sources.scan(spark, f"{path}-csv", "csv", schema, header=True), f"{path}-json", "json", "overwrite")
+    return sources.scan(spark, f"{path}-json", "json", schema)
+
+
+def bucketed_join(spark, d):
+    sources.write_bucketed(t(spark, d, "orders").select("o_orderkey"), "orders_by_key", ["o_orderkey"], 4, ["o_orderkey"], "overwrite")
+    sources.write_bucketed(t(spark, d, "lineitem").select("l_orderkey"), "lineitem_by_key", ["l_orderkey"], 4, ["l_orderkey"], "overwrite")
+    return spark.table("orders_by_key").join(spark.table("lineitem_by_key").hint("merge"), C("o_orderkey") == C("l_orderkey")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 def unnest(spark, d):
     two = t(spark, d, "part").select("p_partkey", _WORDS().alias("a"), F.split("p_type", "").alias("b"))
     return ops.unnest(two.select("p_partkey", "a", F.slice("b", 1, 3).alias("b")), ["a", "b"], "pos")
@@ -190,6 +250,22 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
                        "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS m, false AS s, len(json_keys(props))::INT AS z FROM events"),
     "fn_presto_map": (_select("events", "event_id", {"f": lambda: F.map_keys(presto("map_filter", F.create_map(F.lit("a"), C("event_id"), F.lit("b"), C("user_id")), lambda k, v: v > 20)).cast("string"), "u": lambda: F.element_at(presto("map_update", F.create_map(F.lit("a"), C("event_id")), F.create_map(F.lit("a"), C("user_id"))), "a"), "c": lambda: F.round(presto("cosine_similarity", F.create_map(F.lit("a"), C("value") + 1, F.lit("b"), F.lit(1.0)), F.create_map(F.lit("a"), F.lit(1.0), F.lit("b"), F.lit(2.0))), 9), "k": lambda: presto("any_keys_match", F.create_map(F.lit("a"), C("value")), lambda k: k == "a")}),
                       "SELECT event_id, CASE WHEN event_id > 20 AND user_id > 20 THEN '[a, b]' WHEN event_id > 20 THEN '[a]' WHEN user_id > 20 THEN '[b]' ELSE '[]' END AS f, user_id AS u, round((value + 1 + 2) / (sqrt((value + 1) * (value + 1) + 1) * sqrt(5)), 9) AS c, true AS k FROM events"),
+    "source_text": (round_trip_text, "SELECT p_partkey, p_name, p_retailprice FROM part"),
+    "source_csv_json": (round_trip_csv_json, "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
+    "bucketed_join": (bucketed_join, "SELECT o_orderkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"),
+    "python_operator": (lambda s, d: ops.python_operator(t(s, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount"), net_batches, "l_orderkey long, net double"), "SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem"),
+    "partitioners": (lambda s, d: ops.partition_by_hash(ops.partition_by_range(ops.partition_round_robin(t(s, d, "orders"), 3), 4, ["o_orderkey"]), 5, ["o_custkey"]).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"),
+    "streaming_aggregate": (lambda s, d: ops.streaming_aggregate(ops.partition_by_range(t(s, d, "lineitem"), 4, ["l_orderkey"]).sortWithinPartitions("l_orderkey"), ["l_orderkey"], n=F.count(F.lit(1)), q=F.sum("l_quantity")), "SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1"),
+    "record_and_replay": (lambda s, d: ops.record(t(s, d, "orders").where("o_orderstatus = 'P'"), f"{folder(s)}/replay").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'"),
+    "write_statistics": (write_statistics, "SELECT count(*) AS rows, max(o_totalprice) AS top FROM orders"),
+    "gather": (lambda s, d: ops.gather(t(s, d, "region")).select("r_name"), "SELECT r_name FROM region"),
+    "agg_map_union_sum": (lambda s, d: A.merge_maps(event_maps(s, d), ["event_type"], "m", "map_union_sum").select("event_type", map_text("m").alias("m")), "SELECT event_type, string_agg(k || '=' || s, ',' ORDER BY k) AS m FROM (SELECT event_type, (user_id % 5)::VARCHAR AS k, sum(event_id)::BIGINT AS s FROM events GROUP BY 1, 2) GROUP BY 1"),
+    "agg_map_union_max": (lambda s, d: A.merge_maps(event_maps(s, d), ["event_type"], "m", "map_union_max").select("event_type", map_text("m").alias("m")), "SELECT event_type, string_agg(k || '=' || s, ',' ORDER BY k) AS m FROM (SELECT event_type, (user_id % 5)::VARCHAR AS k, max(event_id) AS s FROM events GROUP BY 1, 2) GROUP BY 1"),
+    "agg_array_count": (lambda s, d: A.merge_arrays(t(s, d, "embeddings").select("label", F.slice("embedding", 1, 3).alias("e")), ["label"], "e", "array_count").select("label", F.array_join("e", ",").alias("e")), "SELECT label, concat_ws(',', count(*), count(*), count(*)) AS e FROM embeddings GROUP BY 1"),
+    "agg_n_largest": (lambda s, d: t(s, d, "events").groupBy("user_id").agg(F.array_join(A.AGGREGATES["max_n"](C("event_id"), 3), ",").alias("top"), F.array_join(A.AGGREGATES["min_by_n"](C("event_type"), C("event_id"), 2), ",").alias("first_types")), "SELECT user_id, array_to_string(list_reverse_sort(list(event_id))[1:3], ',') AS top, array_to_string((list(event_type ORDER BY event_id))[1:2], ',') AS first_types FROM events GROUP BY 1"),
+    "agg_reduce": (lambda s, d: t(s, d, "events").groupBy("event_type").agg(A.AGGREGATES["reduce_agg"](C("event_id"), F.lit(0).cast("bigint"), lambda a, x: a + x % 10).alias("s")), "SELECT event_type, sum(event_id % 10)::BIGINT AS s FROM events GROUP BY 1"),
+    "agg_sample_kurtosis": (lambda s, d: t(s, d, "events").groupBy("event_type").agg(F.round(A.AGGREGATES["presto_kurtosis"](C("value")), 6).alias("k")), "SELECT event_type, round(kurtosis(value), 6) AS k FROM events GROUP BY 1"),
+    "agg_data_size": (lambda s, d: t(s, d, "documents").groupBy("lang").agg(A.AGGREGATES["max_data_size_for_stats"](C("text")).cast("long").alias("m"), A.AGGREGATES["sum_data_size_for_stats"](C("text")).alias("s")), "SELECT lang, max(strlen(text)) AS m, sum(strlen(text))::BIGINT AS s FROM documents GROUP BY 1"),
     "fn_flink": (_select("part", "p_partkey", {"i": lambda: call("flink", "split_index", C("p_name"), " ", 1), "d": lambda: call("flink", "is_digit", C("p_partkey").cast("string")), "a": lambda: call("flink", "is_alpha", C("p_type")), "e": lambda: call("flink", "is_decimal", C("p_retailprice").cast("string"))}),
                  "SELECT p_partkey, string_split(p_name, ' ')[2] AS i, true AS d, regexp_matches(p_type, '^[A-Za-z]+$') AS a, true AS e FROM part"),
 }
