@@ -77,6 +77,14 @@ def test_shingles_equal_python_sets():
         assert names.setdefault(s.tobytes(), sets(t)) == sets(t)
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 64])
+def test_hashing_in_blocks(block):
+    data = np.frombuffer(("one two  three" + "x" * 30 + "\n" + "four" + " " * 9 + "five").encode(), np.uint8)
+    for borders in ([0, len(data)], [0, 0, 3, 5, 16, 16, 40, len(data)], [0, 1, 2, len(data), len(data)]):
+        want, got = J.word_hashes(data, np.array(borders)), J.word_hashes(data, np.array(borders), block)
+        assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+
+
 def test_link_matrix():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 50, dtype=np.uint64)
