@@ -194,9 +194,12 @@ def round_trip_csv_json(spark, d):
 
 
 def bucketed_join(spark, d):
-    sources.write_bucketed(t(spark, d, "orders").select("o_orderkey"), "orders_by_key", ["o_orderkey"], 4, ["o_orderkey"], "overwrite")
-    sources.write_bucketed(t(spark, d, "lineitem").select("l_orderkey"), "lineitem_by_key", ["l_orderkey"], 4, ["l_orderkey"], "overwrite")
-    return spark.table("orders_by_key").join(spark.table("lineitem_by_key").hint("merge"), C("o_orderkey") == C("l_orderkey")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    from uuid import uuid4
+
+    run = uuid4().hex
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        sources.write_bucketed(t(spark, d, name).select(key), f"{name}_{run}", [key], 4, [key], path=f"{folder(spark)}/{name}-{run}")
+    return spark.table(f"orders_{run}").join(spark.table(f"lineitem_{run}").hint("merge"), C("o_orderkey") == C("l_orderkey")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 def unnest(spark, d):

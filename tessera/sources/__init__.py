@@ -57,9 +57,10 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifex
     out.write.format(fmt).mode(mode).options(**options).partitionBy(*partition_by).save(path)
 
 
-def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, sort_by: Sequence[str] = (), mode: str = "errorifexists", fmt: str = "parquet") -> None:
-    """A catalog table whose joins and aggregates on keys need no shuffle."""
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, sort_by: Sequence[str] = (), mode: str = "errorifexists", fmt: str = "parquet", path: str | None = None) -> None:
+    """A catalog table, external if path is given, whose joins and aggregates on keys need no shuffle."""
     writer = df.repartition(buckets, *keys).write.format(fmt).mode(mode).bucketBy(buckets, *keys)
+    writer = writer.option("path", path) if path else writer
     (writer.sortBy(*sort_by) if sort_by else writer).saveAsTable(name)
 
 
