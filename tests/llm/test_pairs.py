@@ -103,6 +103,45 @@ def test_jaccard_stage_keeps_one_of_each_group(spark):
     assert J.stage(spark, docs(spark, []), "").count() == 0
 
 
+def near_copies():
+    """Documents with copies cut, extended or edited so that many link at five words and 80 % but not at three and 90 %, and short ones."""
+    rng = random.Random(12)
+    words = [f"y{k}" for k in range(600)]
+    several = [[rng.choice(words) for _ in range(n)] for n in (3, 4, 5, 7, 9, 12, 20, 30, 45, 60, 90, 150, 400)]
+    texts = []
+    for base in several:
+        n = len(base)
+        texts += [base, base[: n - n // 8], base[: n - n // 5], base + [rng.choice(words) for _ in range(n // 7)]]
+        for edits in (1, max(1, n // 50), max(1, n // 45), max(2, n // 30)):
+            edited = list(base)
+            for _ in range(edits):
+                edited[rng.randrange(n)] = rng.choice(words)
+            texts.append(edited)
+    return [(k, " ".join(x), "en", "a", 1, "1", "x", None) for k, x in enumerate(texts)]
+
+
+def test_jaccard_stage_at_five_words_and_80_percent(spark):
+    rows = near_copies()
+    of = [sets(r[1], 5) for r in rows]
+    root = groups(of, lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b))
+    strict = groups([sets(r[1]) for r in rows], jaccard)
+    assert len(set(root)) < len(set(strict))
+    kept = {r["doc_id"] for r in J.stage(spark, docs(spark, rows), "").collect()}
+    assert kept == {rows[k][0] for k in set(root)}
+
+
+@pytest.mark.parametrize("light", [0, 6, 12])
+def test_signatures_meet_for_every_link_at_80_percent(light):
+    rng = np.random.default_rng(10)
+    for n in [*range(1, 45), 60, 99, 140, 333]:
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for drop in range(0, len(a) // 5 + 1, 1 if n < 45 else 7):
+            for add in range(0, (100 * (len(a) - drop) - 80 * len(a)) // 80 + 1, 1 if n < 45 else 7):
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[: len(a) - drop]], rng.integers(0, 2**63, add, dtype=np.uint64)]))
+                if J.linked(a, b, 80):
+                    assert np.intersect1d(J.signatures(a, light, 80), J.signatures(b, light, 80)).size, (n, drop, add, light)
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, k) for k in range(1001, 1400)] + [(2000 + k, 2001 + k) for k in range(60)] + [(None, 3), (7, 7)]
