@@ -142,6 +142,17 @@ def test_signatures_meet_for_every_link_at_80_percent(light):
                     assert np.intersect1d(J.signatures(a, light, 80), J.signatures(b, light, 80)).size, (n, drop, add, light)
 
 
+def test_lists_of_large_names(spark):
+    """Names of nodes near the end of the range, of which the sum leaves a long even after a shift by 8 bits; two lists hold the same nodes."""
+    names = [2**63 - 1 - k for k in range(300)]
+    several = {x: np.array([k // 2, 1000 + k // 2, 2000 + k // 2], np.uint64).tobytes() for k, x in enumerate(names)}
+    members = spark.createDataFrame([(at, x, names[-1]) for at in (1, 2) for x in names], "list long, node long, pivot long")
+    joined = spark.createDataFrame([], "node long, component long")
+    sets = spark.createDataFrame([(x, bytearray(b)) for x, b in several.items()], "node long, shingles binary")
+    got = {tuple(sorted((r["a"], r["b"]))) for r in J.compare_lists(members, joined, sets).collect()}
+    assert got == {(names[k + 1], names[k]) for k in range(0, 300, 2)}
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, k) for k in range(1001, 1400)] + [(2000 + k, 2001 + k) for k in range(60)] + [(None, 3), (7, 7)]
