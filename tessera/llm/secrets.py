@@ -1,13 +1,13 @@
 """Operator 7, secrets by a linear-chain conditional random field.
 
-Base spans (assign, access, hex) are found by their patterns and always stay. The field tags the
-tokens around places that could hold a secret as begin, inside or outside, from the shape of a token,
-its neighbours and features of the whole file, and Viterbi decoding gives the best tagging; spans that
-overlap no base span are added with kind ``secret``. It is fitted here by stochastic gradients on
-EXAMPLES generated sequences of secrets and look-alikes (digests named as such, versions, identifiers,
-plain words). A place that could hold a secret is a run of PLACE characters of which one is a digit,
-or a value after a key word; tokens elsewhere are outside by definition of the model, so a text is
-decoded in windows of CONTEXT tokens around such places, and nothing but those windows costs decoding.
+Base spans (assign, access, hex) are found by their patterns and always stay. The field tags every
+token of a text as begin, inside or outside, from the shape of a token, its neighbours and features of
+the whole file, and Viterbi decoding gives the best tagging; spans of 8 characters or more that overlap
+no base span are added with kind ``secret``. It is fitted here by stochastic gradients on EXAMPLES
+generated sequences of secrets and look-alikes (digests named as such, versions, identifiers, plain
+words). A text is scored as a whole from a table of tokens (Scores). A token is outside in every best
+tagging if no stretch around it can gain as much by any tags as by outside alone; Viterbi decoding runs
+over the other tokens, with the same result as over the whole text.
 
 Defined results: a null or empty text has no spans; repeated rows are searched row by row; an empty
 table gives no rows; other columns are not read.
@@ -32,18 +32,14 @@ from tessera.llm.spans import Span, apart, digest, in_order, joined, redact
 KINDS = ("assign", "access", "hex", "secret")
 EXAMPLES = 1500
 EPOCHS = 4
-CONTEXT = 6
 O, B, I = 0, 1, 2  # noqa: E741
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PLACE = re.compile(r"[A-Za-z0-9+/_=.-]{10,}")
-_VALUE = re.compile(r"""(?ai:passw|secret|token|api_?key|credential|auth|private)[A-Za-z_]{0,16}["']?\x20{0,4}[:=]\x20{0,4}["']?([^\s"']{6,})""")
 _TOKEN = re.compile(r"[^\W_]+|_|[^\w\s]")
 #: Hexadecimal digits to h; a text without a run of them has no hex span.
 _IS_HEX = bytes(104 if 48 <= i <= 57 or 97 <= i <= 102 else 32 for i in range(256))
-_DIGIT = re.compile(r"[0-9]")
 KEYS = frozenset("password passwd pwd secret token apikey api key auth bearer credential credentials private access client login".split())
 PLAIN = frozenset("sha sha1 sha256 md5 digest checksum commit hash uuid id version build file order invoice isbn etag revision tag ref".split())
 
@@ -185,18 +181,27 @@ def examples(n: int, seed: int) -> list[tuple[str, int, int]]:
     of = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     low, alnum, hexa = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
     word = lambda: "".join(rng.choice(("er", "on", "the", "la", "ch", "en", "os", "in", "re", "tion")) for _ in range(rng.randint(1, 6)))
-    key = lambda: rng.choice(("password", "passwd", "secret", "token", "api_key", "apikey", "auth", "client_secret", "private_key", "bearer"))
+    key = lambda: rng.choice(("password", "passwd", "secret", "token", "api_key", "apikey", "auth", "client_secret", "private_key", "bearer", "pwd", "access_key"))
+    marks = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
+
+    def noise() -> str:
+        """Words with runs of marks behind them."""
+        case = rng.choice((str, str.upper, str.title))
+        return " ".join(case(word()) + rng.choice(marks) * rng.randint(1, 3) for _ in range(rng.randint(2, 6)))
+
     assign = lambda: f"{key()}{rng.choice((' = ', '=', ': ', ' : ', '=\"', ': \"', ' '))}"
     secrets = (
         lambda: (assign(), of(alnum, rng.randint(16, 44))), lambda: (assign(), of(hexa, rng.choice((18, 32, 40, 64)))), lambda: ("", "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)),
         lambda: ("", "ghp_" + of(alnum, 36)), lambda: ("", "sk-" + of(alnum, rng.choice((32, 48)))), lambda: ("", f"xoxb-{of('0123456789', 11)}-{of(alnum, 24)}"), lambda: ("", f"eyJ{of(alnum, 20)}.eyJ{of(alnum, 40)}.{of(alnum, 43)}"),
         lambda: ("Bearer ", of(alnum, 40)), lambda: ("", of(alnum, 38) + rng.choice(("/", "+")) + of(alnum, 20)), lambda: ("", "AIza" + of(alnum, 35)), lambda: (assign(), of(low, 6) + of("0123456789", 4) + rng.choice("!#$") + of(alnum, 4)),
+        lambda: (rng.choice((assign(), "Bearer ")), of(alnum[:52], rng.randint(20, 44))),
     )
     alike = (
         lambda: f"{rng.choice(('sha256', 'md5', 'commit', 'digest', 'checksum'))}{rng.choice((': ', ' ', '='))}{of(alnum, rng.choice((32, 40)))}", lambda: f"{of(hexa, 8)}-{of(hexa, 4)}-{of(hexa, 4)}-{of(hexa, 4)}-{of(hexa, 12)}", lambda: f"{word()}_{word()}_{rng.randint(1, 99)}",
         lambda: f"{word()}.{of('0123456789', 2)}@mail{rng.randint(0, 9)}.example.com", lambda: f"{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 99)}-rc{rng.randint(1, 4)}", lambda: of("0123456789", rng.randint(10, 18)), lambda: f"http://{word()}.example.com/{word()}/{of('0123456789', 5)}",
         lambda: f"{word()}{word()}{word()}", lambda: f"+1 ({of('0123456789', 3)}) {of('0123456789', 3)}-{of('0123456789', 4)}", lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T{of('12', 2)}:{of('0123', 2)}:00Z", lambda: f"the {key()} of {word()} and {word()}", lambda: f"{key()}: {word()}",
         lambda: f"{of('0123456789', 2)}.{of('0123456789', 3)}.{of('0123456789', 3)}.{of('0123456789', 2)}", lambda: f"{word().upper()}-{of('0123456789', 6)}-{word()}",
+        noise,
     )
     out = []
     for _ in range(n):
@@ -222,36 +227,130 @@ def model(n: int = EXAMPLES, seed: int = 11) -> Field:
     return Field().fit([x for x in (tagged(*e) for e in examples(n, seed)) if x[0]])
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of text that hold a place and CONTEXT tokens to either side, joined where they meet."""
-    spots = [(m.start(), m.end()) for m in _PLACE.finditer(text) if _DIGIT.search(m[0])] if _DIGIT.search(text) else []
-    if "=" in text or ":" in text:
-        spots += [m.span(1) for m in _VALUE.finditer(text)]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spots):
-        left = [m.start() for m in _TOKEN.finditer(text, max(0, a - 24 * CONTEXT), a)][-CONTEXT:]
-        right = [m.end() for m in _TOKEN.finditer(text, b, min(len(text), b + 24 * CONTEXT))][:CONTEXT]
-        a, b = left[0] if left else a, right[-1] if right else b
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+class Scores(dict):
+    """Token to its row in tables of weights, for scoring whole texts as Field.scores does; remembered for at most LIMIT tokens or CHARS characters."""
+
+    LIMIT, CHARS = 200_000, 20_000_000
+    BIG = ("random", "hexlike", "word", "number", "none")
+
+    def __init__(self, field: Field) -> None:
+        self.weights, self.moves, self.first = field.weights, field.moves, field.first
+        cues = [f.split(":", 1) for f in self.weights if re.match(r"(-[1-4]|\+1):", f)]
+        self.kinds = {k: i for i, k in enumerate(dict.fromkeys(["start", "end", "unseen", *(k for _, k in cues)]))}
+        self.beside = {w: np.array([self.sum([f"{w}:{k}"]) for k in self.kinds]) for w in ("-1", "-2", "-3", "-4", "+1")}
+        self.files: dict[tuple[str, ...], np.ndarray] = {}
+        self.shapes: dict[tuple[tuple[str, ...], str], tuple[np.ndarray, np.ndarray, tuple[int, ...]]] = {}
+        self.chars = 0
+        # own weights, those for the next token, kind, place in BIG, key, plain
+        self.own, self.after, self.facts = np.zeros((1024, 3)), np.zeros((1024, 3)), np.zeros((1024, 4), np.int64)
+
+    def sum(self, features: list[str]) -> np.ndarray:
+        return sum((self.weights[f] for f in features if f in self.weights), np.zeros(3))
+
+    def __missing__(self, token: str) -> int:
+        i = len(self)
+        if i == len(self.own):
+            self.own, self.after, self.facts = (np.concatenate((x, np.zeros_like(x))) for x in (self.own, self.after, self.facts))
+        shapes, kind = cue = _own.__wrapped__(token)
+        if cue not in self.shapes:
+            big = self.BIG.index(next((x for x in shapes if x in self.BIG), "none"))
+            facts = self.kinds.get(kind, self.kinds["unseen"]), big, kind == "key", kind == "plain"
+            self.shapes[cue] = self.sum([*shapes, f"kind={kind}"]), self.sum([f"before:{x}" for x in shapes if x.startswith(("long", "start", "mix"))]), facts
+        self.own[i], self.after[i], self.facts[i] = self.shapes[cue]
+        self.chars += len(token)
+        self[token] = i
+        return i
+
+    def of_file(self, whole: tuple[str, ...]) -> np.ndarray:
+        """Weights by key near (0, 1), plain near and place in BIG, one after another."""
+        if whole not in self.files:
+            self.files[whole] = np.array([self.sum([*["near=key"] * k, *["near=plain"] * p, *(f"{w}&{b}" for w in whole), f"key={bool(k)}&{b}", f"plain={bool(p)}&{b}"]) for k in (0, 1) for p in (0, 1) for b in self.BIG])
+        return self.files[whole]
+
+    def score(self, tokens: list[str], whole: tuple[str, ...]) -> np.ndarray:
+        if len(self) > self.LIMIT or self.chars > self.CHARS:
+            self.clear()
+            self.chars = 0
+        n = len(tokens)
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, n)
+        kind, big, key, plain = self.facts[at].T
+        s = self.own[at]
+        s[1:] += self.after[at[:-1]]
+        padded = np.concatenate((np.full(4, self.kinds["start"]), kind, [self.kinds["end"]]))
+        for back in (1, 2, 3, 4):
+            s += self.beside[f"-{back}"][padded[4 - back : 4 - back + n]]
+        s += self.beside["+1"][padded[5:]]
+        first = np.maximum(np.arange(n) - 5, 0)
+        near = []
+        for x in (key, plain):
+            upto = np.concatenate(([0], np.cumsum(x)))
+            near.append(upto[:-1] > upto[first])
+        s += self.of_file(whole)[near[0] * 10 + near[1] * 5 + big]
+        return s
+
+    def outside(self, s: np.ndarray) -> np.ndarray:
+        """Which tokens every best tagging has outside: those in no stretch of begin and inside that could score as much as outside there."""
+        m = self.moves - self.moves[O, O]
+        opens = s[:, B] - s[:, O] + m[O, B]
+        opens[0] = s[0, B] - s[0, O] + self.first[B] - self.first[O]
+        goes_on = np.maximum(s[:, B] + max(m[B, B], m[I, B]), s[:, I] + max(m[B, I], m[I, I])) - s[:, O]
+        closes = np.full(len(s), max(m[B, O], m[I, O]))
+        closes[-1] = 0
+        upto = np.cumsum(goes_on)
+        return np.maximum.accumulate(opens - upto) + np.maximum.accumulate((upto + closes)[::-1])[::-1] < -1e-6
+
+    def best(self, s: np.ndarray, starts: bool, ends: bool) -> list[int]:
+        """Viterbi tags of a stretch; it starts or ends a text, or has a token outside there."""
+        m = self.moves.tolist()
+        rows = s.tolist()
+        now = [a + b for a, b in zip(self.first.tolist() if starts else m[O], rows[0], strict=True)]
+        back = []
+        for row in rows[1:]:
+            step, new = [], []
+            for t in (O, B, I):
+                x, y, z = now[0] + m[0][t], now[1] + m[1][t], now[2] + m[2][t]
+                p = 0 if x >= y and x >= z else 1 if y >= z else 2
+                step.append(p)
+                new.append((x, y, z)[p] + row[t])
+            back.append(step)
+            now = new
+        if not ends:
+            now = [v + m[t][O] for t, v in enumerate(now)]
+        tags = [max((O, B, I), key=now.__getitem__)]
+        for step in reversed(back):
+            tags.append(step[tags[-1]])
+        return tags[::-1]
+
+
+@functools.lru_cache(2)
+def table(field: Field) -> Scores:
+    return Scores(field)
+
+
+def tag(text: str, field: Field) -> tuple[np.ndarray, list[str]]:
+    """Best tag of each token of text, and the tokens."""
+    scores, tokens = table(field), _TOKEN.findall(text)
+    tags = np.zeros(len(tokens), np.int64)
+    if tokens:
+        s = scores.score(tokens, file_features(text))
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], scores.outside(s), [True]))))
+        for a, b in edges.reshape(-1, 2).tolist():
+            tags[a:b] = scores.best(s[a:b], a == 0, b == len(tokens))
+    return tags, tokens
 
 
 def decode(text: str, field: Field) -> list[Span]:
+    tags, _ = tag(text, field)
+    if not tags.any():
+        return []
     out: list[Span] = []
-    whole = None
-    for a, b in windows(text):
-        whole = whole or file_features(text)
-        tokens = list(_TOKEN.finditer(text, a, b))
-        start = -1
-        tags = field.viterbi(token_features([m[0] for m in tokens], whole)) if tokens else []
-        for m, tag, following in zip(tokens, tags, [*tags[1:], O], strict=False):
-            if tag == B:
-                start = m.start()
-            if tag != O and following != I:
-                out.append((start, m.end(), "secret"))
+    start = -1
+    tags = tags.tolist()
+    for m, now, following in zip(_TOKEN.finditer(text), tags, [*tags[1:], O], strict=True):
+        if now == B:
+            start = m.start()
+        if now != O and following != I:
+            out.append((start, m.end(), "secret"))
     return [s for s in out if s[1] - s[0] >= 8]
 
 

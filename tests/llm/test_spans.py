@@ -81,6 +81,36 @@ def test_viterbi_is_the_best_path():
     assert tuple(field.viterbi(features[:6])) == max(itertools.product(range(3), repeat=len(s)), key=score)
 
 
+def letters(n, seed=6):
+    rng = random.Random(seed)
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+
+
+def unplaced():
+    """Texts in which no run with a digit and no value after a word like password marks a secret, among prose and by themselves."""
+    some = ["pwd=Ab3!xY9$kQ2#vB7", "pwd: correcthorsebattery", f"access_key: {letters(37)}", f"Bearer {letters(40)}", f"password {letters(20).lower()}", f"ghp_{letters(36)}", f"client login {letters(30)}", "a b c", "!!", "_" * 9]
+    return some + [f"the house of cards and {x} is what they said, then" for x in some]
+
+
+def test_decoding_equals_the_field_over_the_whole_text():
+    """Tags of all tokens score as well as Field.viterbi's over the whole text; the texts hold secrets, look-alikes, prose and noise."""
+    field, rng = S.model(), random.Random(3)
+    texts = unplaced() + [e[0] for e in S.examples(150, 79)]
+    texts += [" ".join(rng.sample(texts, 8)) for _ in range(20)] + ["".join(rng.choice("aZ9 _!:='ghp") for _ in range(60)) for _ in range(40)]
+    for text in texts:
+        features, _ = S.tagged(text, 0, 0)
+        if features:
+            s = field.scores(features)
+            score = lambda path: field.first[path[0]] + s[0][path[0]] + sum(field.moves[a, b] + s[k + 1][b] for k, (a, b) in enumerate(zip(path, path[1:], strict=False)))  # noqa: B023, E731
+            assert score(S.tag(text, field)[0].tolist()) == pytest.approx(score(field.viterbi(features)), abs=1e-6), text
+
+
+@pytest.mark.parametrize("cue, body", [("access_key: ", letters(37)), ("Bearer ", letters(40)), ("client login ", letters(30)), ("", f"ghp_{letters(36)}")])
+def test_secrets_without_digits_are_found(cue, body):
+    text = f"the house of cards and {cue}{body} is what they said"
+    assert [(text[a:b]) for a, b, _ in S.decode(text, S.model())] == [body]
+
+
 def test_scans_on_awkward_rows(spark):
     rows = [(1, "mail me: ann.b@mail.example.com or +1 (415) 555-2671 token = \"0123456789abcdef0123\""), (2, None), (3, ""), (2, None)] + [(r[0], r[1]) for r in awkward()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
