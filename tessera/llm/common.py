@@ -32,10 +32,12 @@ def workers_import(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode and an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return context.getCheckpointDir()
 

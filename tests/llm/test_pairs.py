@@ -15,8 +15,8 @@ def jaccard(a, b):
     return bool(a and b) and 100 * len(a & b) >= 90 * len(a | b)
 
 
-def check_components(spark, rows):
-    out = J.jaccard_components(spark, docs(spark, rows)).collect()
+def check_components(spark, rows, **how):
+    out = J.jaccard_components(spark, docs(spark, rows), **how).collect()
     of = [sets(r[1]) for r in rows]
     root = groups(of, jaccard)
     want = []
@@ -30,6 +30,40 @@ def test_components_match_brute_force(spark):
     check_components(spark, awkward())
 
 
+def test_components_of_small_lots(spark):
+    """Lists of which the members come from many lots and ranges."""
+    check_components(spark, awkward(90, 4), held=40)
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    rows = []
+    for n in (512, 1024, 2048, 4096):
+        word = thue_morse(n)
+        rows += [(len(rows), word, "en", "a", n, "1", "x", None), (len(rows) + 1, word.translate(str.maketrans("ab", "ba")), "en", "a", n, "1", "x", None)]
+    # words of one length that differ in one byte or in the order of eight-byte parts, and a word that is another's beginning
+    for word in ("x" * 64, "x" * 63 + "y", "x" * 65, "abcdefgh" * 2 + "z" * 8, "abcdefgh" + "z" * 8 + "abcdefgh", "abcdefgh", "abcdefg", "abcdefghi", "abcdefgh\x00", "X" * 64):
+        rows.append((len(rows), word, "en", "a", 1, "1", "x", None))
+    check_components(spark, rows)
+
+
+@pytest.mark.parametrize(("few", "held"), [(0, 3), (0, 10**6), (50, 7)])
+def test_components_by_stars(spark, few, held):
+    """The way of large tables: rounds of stars with centres dealt over salts, long paths too."""
+    rng = random.Random(few + held)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, 1000) for k in range(1001, 1200)] + [(2000 + k, 2001 + k) for k in range(50)] + [(None, 3), (7, 7)]
+    linked = {frozenset(e) for e in edges}
+    at = groups(nodes := sorted({x for e in edges if None not in e and e[0] != e[1] for x in e}), lambda a, b: frozenset((a, b)) in linked)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4), few, 3, held).collect()}
+    assert got == {n: min(m for m, b in zip(nodes, at, strict=True) if b == a) for n, a in zip(nodes, at, strict=True)}
+
+
 @pytest.mark.parametrize("length", [6, 11, 13, 22, 40, 150])
 def test_components_of_near_copies_by_size(spark, length):
     """Chains of edits around each size class and the light boundary; a large group in which most pairs do not link."""
@@ -61,7 +95,7 @@ def test_signatures_meet_for_every_link():
                 for add in range(0, (100 * (len(a) - drop) - 90 * len(a)) // 90 + 1):
                     b = np.unique(np.concatenate([a[rng.permutation(len(a))[: len(a) - drop]], rng.integers(0, 2**63, add, dtype=np.uint64)]))
                     if J.linked(a, b):
-                        assert np.intersect1d(J.signatures(a, light), J.signatures(b, light)).size, (n, drop, add, light)
+                        assert np.intersect1d(J.signatures([a], light)[0], J.signatures([b], light)[0]).size, (n, drop, add, light)
 
 
 def test_boundary_weighs_cost():
@@ -139,7 +173,7 @@ def test_signatures_meet_for_every_link_at_80_percent(light):
             for add in range(0, (100 * (len(a) - drop) - 80 * len(a)) // 80 + 1, 1 if n < 45 else 7):
                 b = np.unique(np.concatenate([a[rng.permutation(len(a))[: len(a) - drop]], rng.integers(0, 2**63, add, dtype=np.uint64)]))
                 if J.linked(a, b, 80):
-                    assert np.intersect1d(J.signatures(a, light, 80), J.signatures(b, light, 80)).size, (n, drop, add, light)
+                    assert np.intersect1d(J.signatures([a], light, 80)[0], J.signatures([b], light, 80)[0]).size, (n, drop, add, light)
 
 
 def test_lists_of_large_names(spark):
