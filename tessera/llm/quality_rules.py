@@ -2,7 +2,8 @@
 
 Every text gets four rule metrics (per mille of its words or characters; higher is worse). A rule's
 cutoffs form a fixed sequence from lenient to strict. For each stratum (language) the labelled good
-documents that pass the base rules are a holdout: with n of them and k above a cutoff, the cutoff is
+documents that pass the base rules are a holdout, one trial for each doc_id and one for each text (near
+copies still count each): with n of them and k above a cutoff, the cutoff is
 certified if P(Bin(n, eps) <= k) <= alpha / (strata * rules), i.e. if the exact (Clopper-Pearson)
 upper bound of the false-rejection rate is at most eps. Cutoffs are tested in order and the first
 failure ends the sequence, so the family-wise error over all strata, rules and cutoffs is at most
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, read, words
+from tessera.llm.common import cut, read, words, written
 
 RULES = ("symbols", "dup_lines", "repeats", "stutter")
 CUTOFFS = (900, 700, 500, 400, 300, 200, 150, 100, 75, 50, 30, 20, 10)
@@ -75,6 +76,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("__w", "__lines", "__h", "__h2", "__h4", "__h8", "__again")
 
 
+def content(text: str = "text") -> Column:
+    """Digest of a text, null and empty alike."""
+    return F.md5(F.coalesce(F.col(text), F.lit(""))).alias("content")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
@@ -105,21 +111,20 @@ def binomial_cdf(n: str, k: str, p: float) -> str:
 def certify(measured: DataFrame, labels: DataFrame, stratum: str = "lang", *, budget: float = FALSE_REJECTION, alpha: float = ALPHA) -> DataFrame:
     """One row per stratum: stratum, and for each rule cut_<rule> (int; null: no certified cutoff).
 
-    measured: doc_id, the stratum and the columns METRICS; labels: doc_id, quality.
+    measured: doc_id, the stratum, the columns METRICS and content (a digest of the text); labels: doc_id, quality.
     """
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("__quality")).where("__quality = 1 and doc_id is not null")
-    holdout = measured.where(~base_failed()).join(good, "doc_id").select(F.col(stratum).alias("stratum"), *(m.alias(r) for r, m in rule_metrics().items()))
-    above = {f"{r}_{i}": F.count_if(F.col(r) > c) for r in RULES for i, c in enumerate(CUTOFFS)}
-    counts = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in above.items()))
+    rows = measured.where(~base_failed()).join(good, "doc_id").select("doc_id", "content", F.col(stratum).alias("stratum"), *(m.alias(r) for r, m in rule_metrics().items()))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("content", "stratum", *RULES)).alias("one")).select("one.*")
+    holdout = one.dropDuplicates(["stratum", "content"])
+    counts = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.array(*(F.count_if(F.col(r) > c) for c in CUTOFFS)).alias(f"__{r}") for r in RULES))
     strata = measured.select(F.col(stratum).alias("stratum")).distinct()
     counts = counts.withColumn("m", F.lit(len(RULES)) * F.expr("count(1) over ()"))
-    eps = budget / len(RULES)
-    for r in RULES:
-        tests = ", ".join(f"{binomial_cdf('n', f'{r}_{i}', eps)} * m <= {alpha!r}D" for i in range(len(CUTOFFS)))
-        counts = counts.withColumn(f"__{r}", F.expr(f"array_position(array({tests}), false)"))
-        cuts = F.array(*map(F.lit, CUTOFFS))
-        passed = F.when(F.col(f"__{r}") == 0, len(CUTOFFS)).otherwise(F.col(f"__{r}").cast("int") - 1)
-        counts = counts.withColumn(f"cut_{r}", F.when(passed > 0, F.get(cuts, passed - 1)))
+    cuts = F.array(*map(F.lit, CUTOFFS))
+    # number of cutoffs before the first that fails its test
+    passed = lambda r: F.expr(f"coalesce(nullif(array_position(transform(__{r}, k -> {binomial_cdf('n', 'k', budget / len(RULES))} * m <= {alpha!r}D), false), 0), {len(CUTOFFS) + 1}) - 1").cast("int")
+    counts = counts.select("stratum", *(passed(r).alias(f"__{r}") for r in RULES))
+    counts = counts.select("stratum", *(F.when(F.col(f"__{r}") > 0, F.get(cuts, F.col(f"__{r}") - 1)).alias(f"cut_{r}") for r in RULES))
     found = counts.select("stratum", *(f"cut_{r}" for r in RULES))
     return strata.join(found, strata["stratum"].eqNullSafe(found["stratum"]), "left").select(strata["stratum"], *(f"cut_{r}" for r in RULES))
 
@@ -137,8 +142,8 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, stratum, METRICS, base_failed, failed_rules and kept for each row of docs."""
-    measured = cut(measure(docs.select("doc_id", stratum, "text")).select("doc_id", stratum, *METRICS))
-    return judge(measured, cut(certify(measured, labels, stratum)), stratum)
+    measured = cut(measure(docs.select("doc_id", stratum, "text")).select("doc_id", stratum, content(), *METRICS))
+    return judge(measured, cut(certify(measured, labels, stratum)), stratum).drop("content")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,12 +154,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go; the columns of docs stay."""
     labels = read(spark, sf_dir, "labels")
-    measured = cut(measure(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", *METRICS))
-    cutoffs = cut(certify(measured, labels))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")).select("__doc", "__doc.lang", "__doc.text")
-    # a generator between the metrics and the verdict: pushed below it, the filter would repeat every metric many times
-    known = measure(whole).select("__doc", "lang", F.inline(F.array(F.struct(*METRICS))))
-    return judge(known, cutoffs).where("kept").select("__doc.*")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")).select("__doc", "__doc.doc_id", "__doc.lang", "__doc.text")
+    # texts are measured once and written with what was measured
+    measured = written(measure(whole).select("__doc", "doc_id", "lang", content(), *METRICS))
+    return judge(measured, cut(certify(measured, labels))).where("kept").select("__doc.*")
 
 
 _W = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -165,13 +168,14 @@ l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matche
 win AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM w WHERE len(w) >= 8)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM rep) GROUP BY doc_id),
-m AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+m AS (SELECT doc_id, lang, md5(text) AS content, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
   (SELECT count(*) FROM (SELECT unnest(generate_series(2, len(w))) AS i) WHERE w[i] = w[i-1])::BIGINT AS n_stutter
   FROM l LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {', '.join(f'coalesce((1000 * {a}) // nullif({b}, 0), 0) AS {r}' for r, (a, b) in ((r, x.split(', ')) for r, x in _MILLE.items()))} FROM m),
-g AS (SELECT b.* FROM b JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id) WHERE NOT base_failed),
+g AS (SELECT * FROM (SELECT b.* FROM b JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id) WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY content, lang NULLS FIRST) = 1)
+  QUALIFY row_number() OVER (PARTITION BY lang, content) = 1),
 t AS ({' UNION ALL '.join(f"SELECT lang, '{r}' AS rule, {i} AS i, {c} AS c, count(*) AS n, count(*) FILTER ({r} > {c}) AS k FROM g GROUP BY lang" for r in RULES for i, c in enumerate(CUTOFFS))}),
 p AS (SELECT lang, rule, i, c, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({FALSE_REJECTION / len(RULES)!r}) + (n - j) * ln(1 - {FALSE_REJECTION / len(RULES)!r}))) AS cdf
   FROM (SELECT *, unnest(generate_series(0, k)) AS j FROM t) GROUP BY ALL),

@@ -48,6 +48,49 @@ def test_certified_cutoffs_reject_junk_and_keep_clean(spark):
     assert kept == set(range(3000)) | {20_000, 20_001, 20_002}  # a stratum with one label certifies nothing
 
 
+def test_copies_are_one_trial(spark):
+    """1,000 rows of the same good text, some of one document, certify nothing; as many different texts do."""
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(k % 700, text, "en") for k in range(3000)], "doc_id long, text string, lang string")
+    measured = Q.measure(df).select("doc_id", "lang", Q.content(), *Q.METRICS)
+    labels = spark.createDataFrame([(k, 1) for k in range(700)], "doc_id long, quality int")
+    assert {r[f"cut_{x}"] for r in Q.certify(measured, labels).collect() for x in Q.RULES} == {None}
+
+
+def test_cutoffs_equal_exact_tests(spark):
+    """5,000 good documents a language with a share of marks, stutter and repeats: every cutoff by exact binomial sums."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(10_000):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        if rng.random() < 0.002:
+            w = [x + "**" for x in w]
+        if rng.random() < 0.003:
+            w[5:9] = [w[5]] * 4
+        rows.append((k, " ".join(w), "en" if k % 2 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    labels = spark.createDataFrame([(k, 1) for k in range(10_000)], "doc_id long, quality int")
+    measured = Q.cut(Q.measure(df).select("doc_id", "lang", Q.content(), *Q.METRICS))
+    got = {r["stratum"]: [r[f"cut_{x}"] for x in Q.RULES] for r in Q.certify(measured, labels).collect()}
+    values = measured.where(~Q.base_failed()).select("lang", *(m.alias(x) for x, m in Q.rule_metrics().items())).collect()
+    p = Q.FALSE_REJECTION / len(Q.RULES)
+    for lang in ("en", None):
+        of = [r for r in values if r["lang"] == lang]
+        n = len(of)
+        for rule, cut in zip(Q.RULES, got[lang], strict=True):
+            want = None
+            for c in Q.CUTOFFS:
+                k = sum(r[rule] > c for r in of)
+                if math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)) * 2 * len(Q.RULES) > Q.ALPHA:
+                    break
+                want = c
+            assert cut == want, (lang, rule)
+    assert {c for cuts in got.values() for c in cuts} - {None}
+
+
 def test_quality_stage_keeps_columns_and_rows(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = Q.stage(spark, docs(spark), str(tmp_path))
