@@ -32,7 +32,7 @@ def test_components_match_brute_force(spark):
 
 def test_components_of_small_lots(spark):
     """Lists of which the members come from many lots and ranges."""
-    check_components(spark, awkward(90, 4), held=40)
+    check_components(spark, awkward(90, 4), held=40, group=3)
 
 
 def thue_morse(n):
@@ -177,16 +177,65 @@ def test_signatures_meet_for_every_link_at_80_percent(light):
 
 
 def test_lists_of_large_names(spark):
-    """Names of nodes near the end of the range, of which the sum leaves a long even after a shift by 8 bits; two lists hold the same nodes."""
+    """Names of nodes near the end of the range, of which the sum leaves a long even after a shift by 8 bits; two lists hold the same nodes; groups of 20."""
     names = [2**63 - 1 - k for k in range(300)]
-    several = {x: np.array([k // 2, 1000 + k // 2, 2000 + k // 2], np.uint64).tobytes() for k, x in enumerate(names)}
+    several = {x: np.array([k // 2, 1000 + k // 2, 2000 + k // 2], np.uint64) for k, x in enumerate(names)}
     members = spark.createDataFrame([(at, x, names[-1]) for at in (1, 2) for x in names], "list long, node long, pivot long")
-    joined = spark.createDataFrame([], "node long, component long")
-    sets = spark.createDataFrame([(x, bytearray(b)) for x, b in several.items()], "node long, shingles binary")
-    got = {tuple(sorted((r["a"], r["b"]))) for r in J.compare_lists(members, joined, sets).collect()}
+    known = spark.createDataFrame([(x, len(s), bytearray(J.bitmap(s).tobytes())) for x, s in several.items()], "node long, n long, bits binary")
+    sets = spark.createDataFrame([(x, bytearray(s.tobytes())) for x, s in several.items()], "node long, shingles binary")
+    more = J.open_pairs(members, spark.createDataFrame([], "node long, component long"), known, group=20)
+    got = {tuple(sorted((r["a"], r["b"]))) for r in J.compare_clusters(components(more), sets, group=20).collect()}
     assert got == {(names[k + 1], names[k]) for k in range(0, 300, 2)}
 
 
+def test_bitmaps_exclude_no_link():
+    """The bound holds for sets of all sizes, folded ones too, and excludes sets that have little in common."""
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 31, 33, 64, 65, 250, 3000):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for drop in (0, 1, n // 10, n // 5, n // 2, n):
+            for add in (0, 1, n // 8, n, 3 * n):
+                other = np.unique(np.concatenate([base[drop:], rng.integers(0, 2**63, add, dtype=np.uint64)]))
+                if len(other):
+                    x, y = J.bitmap(base), J.bitmap(other)
+                    least = min(len(x), len(y))
+                    apart = int(np.bitwise_count(J.folded(x, least) ^ J.folded(y, least)).sum())
+                    assert apart <= len(np.setxor1d(base, other))
+                    for percent in (80, 90):
+                        assert J.may_link(len(base), len(other), apart, percent) or not J.linked(base, other, percent)
+    far = [np.unique(rng.integers(0, 2**63, 250, dtype=np.uint64)) for _ in range(40)]
+    lot = ([J.bitmap(x) for x in far], np.full(40, 250), np.arange(40))
+    assert len(J.candidates(lot, lot, 80)[0]) == 0 and len(J.candidates(lot, (lot[0], lot[1], lot[2] + 40), 80)[0]) == 40
+
+
+def test_frequent_shingles_come_last(spark):
+    """A passage that all documents share is counted as frequent, and nothing changes but the lists."""
+    rng = random.Random(2)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [f"{passage} " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) for _ in range(60)]
+    texts += [t + " tail" for t in texts[:10]] + [passage + f" {k}" for k in range(20)]
+    rows = [(k, t, "en", "a", 1, "1", "x", None) for k, t in enumerate(texts)]
+    frequent = J.frequent_shingles(spark, docs(spark, rows).select("doc_id", "text", "source"), len(rows))
+    assert set(J.shingles(pa.array([passage]))[0].tolist()) <= set(frequent.tolist()) and len(frequent) < 200
+    s = J.shingles(pa.array(texts[:60]))
+    assert not {int(x) for x in J.signatures(s, 0, 90, frequent)[0]} & {int(x) for x in J.mix(frequent + J._K[6])}
+    check_components(spark, rows)
+
+
+@pytest.mark.parametrize("frequent", [0, 40])
+def test_signatures_meet_whatever_is_frequent(frequent):
+    rng = np.random.default_rng(frequent)
+    pool = rng.integers(0, 2**63, 80, dtype=np.uint64)
+    common = pool[:frequent]
+    for n in (10, 20, 45, 70):
+        for percent in (80, 90):
+            for _ in range(60):
+                a = np.unique(rng.choice(pool, n))
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[: len(a) - rng.integers(0, 3)]], rng.choice(pool, rng.integers(0, 3))]))
+                if J.linked(a, b, percent):
+                    assert np.intersect1d(J.signatures([a], 5, percent, common)[0], J.signatures([b], 5, percent, common)[0]).size
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, k) for k in range(1001, 1400)] + [(2000 + k, 2001 + k) for k in range(60)] + [(None, 3), (7, 7)]
