@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.spark import let
+
 
 def builtin(name: str) -> Callable[..., Column]:
     return lambda *a: F.call_function(name, *a)
@@ -45,7 +47,7 @@ def bit_days_or(a: Column) -> Column:
     """Union of right-aligned activity words: the larger word keeps its marker, the smaller one loses it."""
 
     def marker(x: Column) -> Column:
-        return F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.floor(F.log2(x)).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+        return F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(x)) - 1)).otherwise(F.lit(0).cast("bigint"))
 
     def word(x: Column, y: Column) -> Column:
         high, low = F.greatest(x, y), F.least(x, y)
@@ -58,6 +60,12 @@ def bit_days_or(a: Column) -> Column:
     return F.aggregate(F.collect_list(a), F.array().cast("array<bigint>"), merge)
 
 
+def map_agg(k: Column, v: Column) -> Column:
+    """Map of key to the value that came first with it; null keys are skipped."""
+    rows = F.array_sort(F.transform(F.collect_list(F.when(k.isNotNull(), F.struct(k.alias("k"), v.alias("v")))), lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))))
+    return let(rows, lambda r: F.map_from_entries(F.transform(F.filter(r, lambda e, i: (i == 0) | (e["k"] != F.get(r, i - 1)["k"])), lambda e: F.struct(e["k"], e["v"]))))
+
+
 def checksum(x: Column) -> Column:
     """Independent of order and sensitive to repeats."""
     return F.sum(F.xxhash64(x).cast("decimal(38,0)"))
@@ -70,7 +78,7 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "approx_distinct": lambda x, e=0.023: F.approx_count_distinct(x, e), "approx_set": F.hll_sketch_agg, "merge": F.hll_union_agg, "cardinality": F.hll_sketch_estimate, "approx_most_frequent": lambda k, x: F.call_function("approx_top_k", x, F.lit(k)),
     "arbitrary": F.any_value, "array_agg_nulls": keep_nulls, "bitwise_and_agg": F.bit_and, "bitwise_or_agg": F.bit_or, "bitwise_xor_agg": F.bit_xor, "bit_days_or": bit_days_or, "checksum": checksum, "entropy": entropy, "geometric_mean": lambda x: F.exp(F.avg(F.ln(x))),
     "presto_kurtosis": sample_kurtosis, "std": F.stddev_pop, "max_n": lambda x, n: first_n(x, n, True), "min_n": lambda x, n: first_n(x, n, False), "max_by_n": lambda x, by, n: first_n_by(x, by, n, True), "min_by_n": lambda x, by, n: first_n_by(x, by, n, False),
-    "map_agg": lambda k, v: F.map_from_entries(F.array_distinct(F.collect_list(F.struct(k.alias("key"), v.alias("value"))))), "reduce_agg": lambda x, init, f, g=None: F.aggregate(F.collect_list(x), init, f) if g is None else F.aggregate(F.collect_list(x), init, f, g),
+    "map_agg": map_agg, "reduce_agg": lambda x, init, f, g=None: F.aggregate(F.collect_list(x), init, f) if g is None else F.aggregate(F.collect_list(x), init, f, g),
     "set_agg": F.collect_set, "set_union": lambda a: F.array_distinct(F.flatten(F.collect_list(a))), "max_data_size_for_stats": lambda x: F.max(F.octet_length(x)), "sum_data_size_for_stats": lambda x: F.sum(F.octet_length(x)),
     "first_ignore_null": lambda x: F.first(x, ignorenulls=True), "last_ignore_null": lambda x: F.last(x, ignorenulls=True), "regr_replacement": lambda x: F.var_pop(x) * F.count(x), "count_distinct": F.count_distinct,
 }

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.functions.numeric import NUMERIC
-from tessera.functions.spark import SPARK, Build, builtin, millisecond, subscript
+from tessera.functions.evaluation import arithmetic, checked
+from tessera.functions.spark import SPARK, Build, builtin, let, millisecond, subscript
 
 BUILT_IN = """
-abs radians degrees round power pow exp ln log2 log10 cos cosh acos sin asin tan tanh atan atan2 sqrt cbrt sign pi e rand random pmod find_in_set translate concat array_min
+radians degrees round power pow exp cos cosh acos sin asin tan tanh atan atan2 sqrt cbrt sign pi e rand random pmod find_in_set translate concat array_min
 array_max array_join array_union array_remove array_distinct array_intersect array_contains array_except arrays_overlap slice shuffle sequence flatten
 sort_array crc32 base64 to_date to_timestamp year quarter month dayofweek hour minute second weekofyear day dayofmonth dayofyear trunc last_day datediff current_date unix_timestamp
 to_unix_timestamp months_between next_day isnull isnotnull least greatest json_array_length get_json_object to_json map_entries map_from_entries
@@ -38,8 +41,33 @@ def fail(message: str, kind: str = "string") -> Column:
     return F.raise_error(F.lit(message)).cast(kind)
 
 
-def divide(a: Column, b: Column) -> Column:
-    return a / b
+def divide(a: Column, b: Column, df: DataFrame | None = None) -> Column:
+    """Whole numbers are divided towards zero and a divisor of 0 raises; floating-point numbers follow IEEE 754.
+
+    The types are those that a and b have over df, or, without it, those of literals; columns of unknown type count as floating-point.
+    """
+    if all(re.fullmatch("Column<'-?[0-9]+'>", str(c)) for c in (a, b)) if df is None else all(isinstance(f.dataType, IntegralType) for f in df.select(a.alias("a"), b.alias("b")).schema):
+        return integer_divide(a, b)
+    x, y, inf = a.cast("double"), b.cast("double"), F.lit(float("inf"))
+    # a zero's sign shows in its text
+    sign = F.signum(x) * F.when(y.cast("string").startswith("-"), -1.0).otherwise(1.0)
+    return F.when(y != 0, x / F.nullif(y, F.lit(0.0))).when(y == 0, F.when(x.isNull(), None).when(F.isnan(x) | (x == 0), float("nan")).otherwise(sign * inf))
+
+
+def logarithm(f: Callable[[Column], Column]) -> Build:
+    """-Infinity for 0, NaN for less."""
+    return lambda x: F.when(x > 0, f(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
+def to_base(x: Column, radix: Column) -> Column:
+    """Sign and digits."""
+    digits = F.lower(F.call_function("conv", F.abs(x.cast("decimal(20,0)")).cast("string"), F.lit(10), radix.cast("int")))
+    return F.when(x < 0, F.concat(F.lit("-"), digits)).otherwise(digits)
+
+
+def raising(wrong: Column, message: str, value: Column, kind: str) -> Column:
+    """value of a type, or an error."""
+    return F.when(wrong, fail(message, kind)).otherwise(value)
 
 
 def integer_divide(a: Column, b: Column) -> Column:
@@ -56,7 +84,8 @@ def width_bucket(x: Column, *rest: Column) -> Column:
     """(x, low, high, buckets), or (x, ascending bounds): the number of bounds not above x."""
     if len(rest) == 3:
         return F.width_bucket(x, *rest)
-    return F.size(F.filter(rest[0], lambda b: b <= x)).cast("bigint")
+    bad = F.isnan(x.cast("double")) | (F.size(rest[0]) == 0) | F.exists(rest[0], lambda b: b.isNull() | F.isnan(b.cast("double")) | (F.abs(b.cast("double")) == float("inf")))
+    return raising(bad, "width_bucket: operand is NaN, or bins are empty or not finite", F.size(F.filter(rest[0], lambda b: b <= x)).cast("bigint"), "bigint")
 
 
 def wilson(side: int) -> Build:
@@ -77,14 +106,25 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(scale > 0, dot / scale)
 
 
+def runs(a: Column) -> Column:
+    """(value, n) of the runs of equal values in a sorted array without nulls."""
+
+    def of(v: Column) -> Column:
+        starts = F.filter(F.transform(v, lambda x, i: F.when((i == 0) | (x != F.get(v, i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(v, i).alias("value"), (F.coalesce(F.get(s, k + 1), F.size(v)) - i).alias("n"))))
+
+    return let(a, of)
+
+
 def array_frequency(a: Column) -> Column:
     """Map of value to count; nulls are skipped. One sort, then runs."""
-    values = F.array_compact(a)
-    return F.map_from_entries(F.transform(F.array_distinct(values), lambda x: F.struct(x, F.size(F.filter(values, lambda y: y == x)))))
+    return F.map_from_entries(runs(F.array_sort(F.array_compact(a))))
 
 
 def array_duplicates(a: Column) -> Column:
-    return F.array_sort(F.filter(F.array_distinct(a), lambda x: F.size(F.filter(a, lambda y: y.eqNullSafe(x))) > 1))
+    """Values that occur more than once, in order, null last."""
+    twice = F.transform(F.filter(runs(F.array_sort(F.array_compact(a))), lambda r: r["n"] > 1), lambda r: r["value"])
+    return F.when(F.size(F.filter(a, lambda x: x.isNull())) > 1, F.array_append(twice, F.get(twice, -1))).otherwise(twice)
 
 
 def array_normalize(a: Column, p: Column) -> Column:
@@ -105,11 +145,17 @@ def array_position(a: Column, x: Column, instance: Column | None = None) -> Colu
 
 
 def trim_array(a: Column, n: Column) -> Column:
-    return F.when((n < 0) | (n > F.size(a)), fail("size outside the array", "array<bigint>")).otherwise(F.slice(a, 1, F.size(a) - n))
+    return F.slice(a, F.lit(1), raising((n < 0) | (n > F.size(a)), "size outside the array", F.size(a) - n, "int"))
 
 
 def ngrams(a: Column, n: Column) -> Column:
-    return F.when(n <= 0, fail("n is not positive", "array<array<string>>")).when(F.size(a) <= n, F.array(a)).otherwise(F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.slice(a, i, n)))
+    n = raising(n <= 0, "n is not positive", n.cast("int"), "int")
+    return F.when(F.size(a) <= n, F.array(a)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - n + 1, F.lit(1))), lambda i: F.slice(a, i, n)))
+
+
+def combinations(a: Column, n: Column) -> Column:
+    """Of an array of any type; places come from a function of its size."""
+    return F.transform(NUMERIC["combinations"](F.size(a), n), lambda places: F.transform(places, lambda i: F.get(a, i)))
 
 
 def element(a: Column) -> Column:
@@ -117,8 +163,16 @@ def element(a: Column) -> Column:
 
 
 def multimap_from_entries(entries: Column) -> Column:
-    keys = F.array_distinct(F.transform(entries, lambda e: e.getField("key")))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.transform(F.filter(entries, lambda e: e.getField("key") == k), lambda e: e.getField("value")))))
+    """Values of each key in order; one sort of (key, place), then runs of keys."""
+    ordered = F.array_sort(F.transform(entries, lambda e, i: F.struct(e.getField("key").alias("key"), i.alias("i"))))
+
+    def of(rows: Column, source: Column) -> Column:
+        first = lambda r, i: (i == 0) | (r["key"] != F.get(rows, i - 1)["key"])
+        starts = F.filter(F.transform(rows, lambda r, i: F.when(first(r, i), i)), lambda i: i.isNotNull())
+        values = lambda i, end: F.transform(F.slice(rows, i + 1, end - i), lambda r: F.get(source, r["i"]).getField("value"))
+        return let(starts, lambda s: F.map_from_entries(F.transform(s, lambda i, k: F.struct(F.get(rows, i)["key"], values(i, F.coalesce(F.get(s, k + 1), F.size(rows)))))))
+
+    return let(ordered, lambda rows: of(rows, entries))
 
 
 def split(s: Column, delimiter: Column, limit: Column | None = None) -> Column:
@@ -176,14 +230,14 @@ def timestamp_step(u: str, n: Column, ts: Column) -> Column:
     return F.timestamp_add(u, n, ts)
 
 
-PRESTO: dict[str, Build] = {name: builtin(name) for name in BUILT_IN} | {k: v for k, v in NUMERIC.items() if k not in ("combinations_long", "combinations_string", "hash_with_seed", "xxhash64_with_seed", "hive_hash", "might_contain")} | {
-    "plus": lambda a, b: a + b, "minus": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": divide, "integer_divide": integer_divide, "mod": lambda a, b: a % b, "negate": lambda a: -a,
-    "ceil": builtin("ceil"), "ceiling": builtin("ceil"), "floor": builtin("floor"), "clamp": lambda v, lo, hi: F.least(F.greatest(v, lo), hi), "log": lambda b, x: F.ln(x) / F.ln(b), "width_bucket": width_bucket,
+PRESTO: dict[str, Build] = {name: builtin(name) for name in BUILT_IN} | {k: v for k, v in NUMERIC.items() if k not in ("hash_with_seed", "xxhash64_with_seed", "hive_hash", "might_contain")} | {
+    "plus": lambda a, b: arithmetic("Add", a, b, True), "minus": lambda a, b: arithmetic("Subtract", a, b, True), "multiply": lambda a, b: arithmetic("Multiply", a, b, True), "abs": lambda a: checked("Abs", a, ansi=True), "ln": logarithm(F.ln), "log2": logarithm(F.log2), "log10": logarithm(F.log10), "divide": divide, "integer_divide": integer_divide, "mod": lambda a, b: a % b, "negate": lambda a: checked("UnaryMinus", a, ansi=True),
+    "ceil": builtin("ceil"), "ceiling": builtin("ceil"), "floor": builtin("floor"), "clamp": lambda v, lo, hi: F.least(F.greatest(v, lo), hi), "log": lambda b, x: logarithm(F.ln)(x) / F.ln(b), "width_bucket": width_bucket,
     "infinity": lambda: F.lit(float("inf")), "nan": lambda: F.lit(float("nan")), "is_finite": lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")), "is_infinite": lambda x: F.abs(x) == float("inf"), "is_nan": F.isnan,
-    "from_base": lambda s, r: F.call_function("conv", s, r.cast("int"), F.lit(10)).cast("bigint"), "to_base": lambda x, r: F.lower(F.call_function("conv", x.cast("string"), F.lit(10), r.cast("int"))), "truncate": truncate,
+    "from_base": lambda s, r: F.call_function("conv", s, r.cast("int"), F.lit(10)).cast("bigint"), "to_base": to_base, "truncate": truncate,
     "cauchy_cdf": lambda m, s, x: 0.5 + F.atan((x - m) / s) / F.pi(), "laplace_cdf": lambda m, s, x: F.when(x < m, 0.5 * F.exp((x - m) / s)).otherwise(1 - 0.5 * F.exp(-(x - m) / s)), "weibull_cdf": lambda a, b, x: F.when(x <= 0, 0.0).otherwise(1 - F.exp(-F.pow(x / b, a))),
     "wilson_interval_lower": wilson(-1), "wilson_interval_upper": wilson(1), "cosine_similarity": cosine_similarity, "to_bigint": lambda x: x.cast("bigint"), "to_integer": lambda x: x.cast("int"), "not": lambda x: ~x,
-    "combinations": lambda a, n: NUMERIC["combinations_long"](a, n), "array_has_duplicates": lambda a: F.size(F.array_distinct(a)) < F.size(a), "array_frequency": array_frequency, "array_normalize": array_normalize, "trim_array": trim_array, "remove_nulls": F.array_compact,
+    "combinations": combinations, "array_has_duplicates": lambda a: F.size(F.array_distinct(a)) < F.size(a), "array_frequency": array_frequency, "array_normalize": array_normalize, "trim_array": trim_array, "remove_nulls": F.array_compact,
     "array_constructor": lambda *a: F.array(*a), "all_match": F.forall, "any_match": F.exists, "none_match": lambda a, f: ~F.exists(a, f), "find_first": lambda a, f: F.get(F.filter(a, f), 0), "find_first_index": lambda a, f: F.nullif(F.array_position(F.transform(a, f), True), F.lit(0)),
     "array_duplicates": array_duplicates, "contains": builtin("array_contains"), "zip": F.arrays_zip, "zip_with": F.zip_with, "array_position": array_position, "element": element, "array_sort": SPARK["array_sort"], "array_sort_desc": SPARK["array_sort_desc"],
     "array_sum": lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0))), "repeat": builtin("array_repeat"), "array_average": array_average, "ngrams": ngrams,
@@ -197,7 +251,7 @@ PRESTO: dict[str, Build] = {name: builtin(name) for name in BUILT_IN} | {k: v fo
     "week": F.weekofyear, "week_of_year": F.weekofyear, "millisecond": millisecond, "day_of_month": F.dayofmonth, "dow": lambda d: F.weekday(d) + 1, "day_of_week": lambda d: F.weekday(d) + 1, "doy": F.dayofyear, "day_of_year": F.dayofyear,
     "yow": lambda d: F.extract(F.lit("YEAROFWEEK"), d), "year_of_week": lambda d: F.extract(F.lit("YEAROFWEEK"), d), "last_day_of_month": F.last_day, "date_trunc": builtin("date_trunc"),
     "date_add": lambda u, n, ts: timestamp_step(u, n, ts), "timestampadd": lambda u, n, ts: timestamp_step(u, n, ts), "date_diff": lambda u, a, b: F.timestamp_diff(u, a, b), "timestampdiff": lambda u, a, b: F.timestamp_diff(u, a, b),
-    "date_format": lambda ts, p: F.date_format(ts, java_pattern(p)), "date_parse": lambda s, p: F.to_timestamp(s, java_pattern(p)), "format_datetime": lambda ts, p: F.date_format(ts, p), "parse_datetime": lambda s, p: F.to_timestamp(s, p), "date2pdate": SPARK["date2pdate"], "pdate2date": SPARK["pdate2date"],
+    "date_format": lambda ts, p: F.date_format(ts, java_pattern(p)), "date_parse": lambda s, p: F.to_timestamp(s, java_pattern(p)), "format_datetime": builtin("date_format"), "parse_datetime": builtin("to_timestamp"), "date2pdate": SPARK["date2pdate"], "pdate2date": SPARK["pdate2date"],
     "in": lambda x, *a: reduce(lambda p, q: p | q, (x == y for y in a)), "row_constructor": lambda *a: F.struct(*a), "is_null": F.isnull, "is_not_null": F.isnotnull, "subscript": subscript, "element_at": lambda a, i: F.try_element_at(a, i), "transform": F.transform, "reduce": F.aggregate, "filter": F.filter,
     "cardinality": builtin("size"), "size": builtin("size"), "empty_approx_set": lambda: F.unhex(F.lit("")), "is_json_scalar": is_json_scalar, "json_extract_scalar": json_extract_scalar, "json_extract": builtin("get_json_object"), "get_json_object_detect_bad_json": lambda s, p: F.when(F.try_parse_json(s).isNotNull(), F.call_function("get_json_object", s, p)),
     "json_array_contains": lambda s, v: F.array_contains(F.from_json(s, "array<string>"), v.cast("string")), "json_size": lambda s: F.coalesce(F.json_array_length(s), F.size(F.json_object_keys(s)), F.lit(0)), "json_format": lambda s: s, "json_parse": F.parse_json, "json_to_map": SPARK["json_to_map"], "json_split": SPARK["json_split"],

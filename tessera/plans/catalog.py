@@ -15,6 +15,7 @@ from tessera import operators as ops
 from tessera import sources, streaming
 from tessera.functions import PRESTO, call
 from tessera.functions import aggregates as A
+from tessera.plans import function_checks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -282,5 +283,5 @@ def _sql(text: str) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {k: _sql(v if isinstance(v, str) else v[0]) for k, v in SQL.items()} | {k: q for k, (q, _) in FRAMES.items()}
-ORACLE_SQL: dict[str, str] = {k: v if isinstance(v, str) else v[1] for k, v in SQL.items()} | {k: s for k, (_, s) in FRAMES.items() if s is not None}
+QUERIES: dict[str, Query] = {k: _sql(v if isinstance(v, str) else v[0]) for k, v in SQL.items()} | {k: q for k, (q, _) in FRAMES.items()} | function_checks.QUERIES
+ORACLE_SQL: dict[str, str] = {k: v if isinstance(v, str) else v[1] for k, v in SQL.items()} | {k: s for k, (_, s) in FRAMES.items() if s is not None} | function_checks.ORACLE_SQL

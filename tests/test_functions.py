@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import operators as ops
 from tessera import sources, streaming
-from tessera.functions import call, names
+from tessera.functions import DIALECTS, call, names
 from tessera.functions.presto import java_pattern
 
 
@@ -53,6 +53,83 @@ def test_presto_edges(spark):
     assert java_pattern("%Y-%m-%d %H:%i") == "yyyy-MM-dd HH:mm"
 
 
+def test_every_function_has_a_query_or_a_reason():
+    from tessera.functions import DIALECTS
+    from tessera.plans import function_checks
+
+    called = function_checks.called()
+    assert [(d, n) for d, functions in DIALECTS.items() for n in functions if (d, n) not in called and n not in function_checks.WITHOUT_SQL] == []
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_dialects_do_not_follow_the_session(spark, ansi):
+    """The same results and errors with ANSI on and off."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        s = lambda name, *a: one(spark, call("spark", name, *a))
+        p = lambda name, *a: one(spark, call("presto", name, *a))
+        most, least = 2**31 - 1, -(2**31)
+        assert s("add", most, 1) == least and s("subtract", least, 1) == most and s("multiply", most, 2) == -2 and s("abs", least) == least and s("unaryminus", least) == least and s("negative", least) == least
+        assert s("add", F.lit(2**63 - 1), F.lit(1).cast("bigint")) == -(2**63) and s("add", 1.5, 2.0) == 3.5
+        assert s("element_at", array(1), 5) is None and s("element_at", array(1, 2), -1) == 2 and s("element_at", F.create_map(F.lit("a"), F.lit(1)), "b") is None
+        assert s("make_date", 2024, 13, 1) is None and s("unix_timestamp", "bad", "yyyy-MM-dd") is None and s("to_unix_timestamp", "bad", "yyyy-MM-dd") is None and s("get_timestamp", "bad", "yyyy-MM-dd") is None
+        assert s("conv", "9" * 40, 10, 16) == "F" * 16 and s("next_day", F.lit("2024-01-01").cast("date"), "XX") is None and s("make_timestamp", 2024, 13, 1, 0, 0, 0) is None and s("url_decode", "%zz") is None and s("parse_url", "http://a b", "HOST") is None
+        assert one(spark, DIALECTS["spark"]["cast"](F.lit("abc"), "int")) is None and one(spark, DIALECTS["spark"]["cast"](F.lit(300), "tinyint")) == 44
+        assert s("date2pdate", "20241341") is None and s("divide", 1, 0) is None
+        for name, arguments in (("plus", (most, 1)), ("minus", (least, 1)), ("multiply", (most, 2)), ("abs", (least,)), ("negate", (least,)), ("divide", (7, 0))):
+            with pytest.raises(Exception, match="(?i)overflow|division by zero"):
+                p(name, *arguments)
+        assert p("divide", 7, 2) == 3 and p("divide", -7, 2) == -3 and p("divide", 7.0, 2.0) == 3.5
+        assert p("divide", 1.0, 0.0) == math.inf and p("divide", -1.0, 0.0) == -math.inf and p("divide", 1.0, -0.0) == -math.inf and math.isnan(p("divide", 0.0, 0.0)) and p("divide", F.lit(None).cast("double"), 0.0) is None
+        assert [p(n, 0.0) for n in ("ln", "log2", "log10")] == [-math.inf] * 3 and all(math.isnan(p(n, -1.0)) for n in ("ln", "log2", "log10")) and p("ln", F.lit(None).cast("double")) is None
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_presto_division_by_type(spark):
+    df = spark.createDataFrame([(7, 2, 1.0)], "a int, b bigint, c double")
+    divide = DIALECTS["presto"]["divide"]
+    assert df.select(divide(F.col("a"), F.col("b"), df)).first()[0] == 3 and df.select(divide(F.col("a"), F.col("c"), df)).first()[0] == 7.0
+
+
+def test_presto_errors_and_types(spark):
+    p = lambda name, *a: one(spark, call("presto", name, *a))
+    assert p("to_base", -10, 2) == "-1010" and p("to_base", 255, 16) == "ff"
+    for bad in ((float("nan"), array(1.0, 2.0)), (1.0, F.array().cast("array<double>")), (1.0, array(1.0, math.inf))):
+        with pytest.raises(Exception, match="width_bucket"):
+            p("width_bucket", *bad)
+    assert p("width_bucket", 1.5, array(1.0, 2.0)) == 1
+    assert p("trim_array", array("a", "b"), 1) == ["a"] and p("combinations", array("a", "b", "c"), 2) == [["a", "b"], ["a", "c"], ["b", "c"]]
+    with pytest.raises(Exception, match="size outside"):
+        p("trim_array", array("a"), 2)
+    with pytest.raises(Exception, match="n is not positive"):
+        p("ngrams", array("a"), 0)
+    with pytest.raises(Exception, match="at most 5"):
+        p("combinations", array(*range(10)), 6)
+    assert p("array_frequency", array(3, None, 1, 3)) == {1: 1, 3: 2} and p("array_frequency", F.array().cast("array<int>")) == {} and p("array_duplicates", array(2, None, 1, 2, None)) == [2, None] and p("array_duplicates", array(1, None)) == []
+    assert p("array_frequency", F.lit(None).cast("array<int>")) is None
+    entries = F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: F.struct((i % 7).alias("key"), i.alias("value")))
+    assert p("multimap_from_entries", entries) == {k: list(range(k, 4000, 7)) for k in range(7)}
+    assert p("array_frequency", F.transform(F.sequence(F.lit(0), F.lit(20_000)), lambda i: i % 5_000))[17] == 4
+
+
+def test_functions_travel_to_workers(spark, tmp_path):
+    """A job started elsewhere, with the package only on the driver's path."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).parent.parent)
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession, functions as F\nfrom tessera.functions import call\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert s.range(3).select(call('presto', 'combinations', F.array(F.col('id'), F.lit(7).cast('bigint')), 2).alias('x')).first()['x'] == [[0, 7]]\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300)
+
+
 def test_downsample(spark):
     from tessera.functions.presto import downsample
 
@@ -129,6 +206,10 @@ def test_aggregates(spark):
     x = F.col("x")
     assert agg("geometric_mean", x)["a"] == pytest.approx(math.sqrt(2)) and agg("max_n", x, 1) == {"a": [2], "b": [8]} and {k: sorted(v, key=str) for k, v in agg("array_agg_nulls", x).items()}["b"] == [8, None]
     assert agg("entropy", x)["a"] == pytest.approx(math.log2(3) - 2 / 3) and agg("min_by_n", F.col("k"), x, 1)["a"] == ["a"] and agg("reduce_agg", x, F.lit(0).cast("bigint"), lambda s, v: s + v)["a"] == 3
+    repeated = spark.createDataFrame([("g", "a", 1), ("g", "b", 2), ("g", "a", 3), ("g", None, 4)], "k string, x string, y int").coalesce(1)
+    assert repeated.groupBy("k").agg(A.AGGREGATES["map_agg"](F.col("x"), F.col("y")).alias("m")).first()["m"] == {"a": 1, "b": 2}
+    words = spark.createDataFrame([("g", [2**52 - 1]), ("g", [2**53 | 1])], "k string, w array<long>")
+    assert words.groupBy("k").agg(A.AGGREGATES["bit_days_or"](F.col("w")).alias("w")).first()["w"] == [2**53 | (2**52 - 1 - 2**51)]
     assert agg("bit_days_or", F.col("w"))["a"] == [7, 5 | (3 & 1)]  # 3 loses its marker, the highest bit
     assert {r["k"]: r["w"] for r in A.merge_arrays(df, ["k"], "w").collect()} == {"a": [12, 3], "b": [3, 9]} and {r["k"]: r["w"] for r in A.merge_arrays(df, ["k"], "w", "array_count").collect()} == {"a": [2, 1], "b": [2, 1]}
     maps = df.select("k", F.create_map(F.lit("m"), F.coalesce("x", F.lit(0))).alias("m"))
