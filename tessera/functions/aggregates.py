@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.evaluation import bloom_filter_aggregate
 from tessera.functions.spark import let
 
 
@@ -66,6 +67,26 @@ def map_agg(k: Column, v: Column) -> Column:
     return let(rows, lambda r: F.map_from_entries(F.transform(F.filter(r, lambda e, i: (i == 0) | (e["k"] != F.get(r, i - 1)["k"])), lambda e: F.struct(e["k"], e["v"]))))
 
 
+def udaf(f: Callable, kind: str) -> Callable[..., Column]:
+    """An aggregate of a Python function from pandas Series to a value; for agg() and, over bounded or unbounded windows, over()."""
+
+    def build(*columns: Column) -> Column:
+        import pandas as pd
+
+        def run(*series: pd.Series):
+            return f(*series)
+
+        run.__annotations__ = {}
+        return F.pandas_udf(run, kind, F.PandasUDFType.GROUPED_AGG)(*columns)
+
+    return build
+
+
+def quantile_sketch(x: Column, p: float) -> Column:
+    """Quantile from a KLL sketch of doubles."""
+    return F.call_function("kll_sketch_get_quantile_double", F.call_function("kll_sketch_agg_double", x.cast("double")), F.lit(p))
+
+
 def checksum(x: Column) -> Column:
     """Independent of order and sensitive to repeats."""
     return F.sum(F.xxhash64(x).cast("decimal(38,0)"))
@@ -76,10 +97,14 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     for n in "avg count sum min max min_by max_by any_value bit_and bit_or bit_xor bool_and bool_or every corr covar_pop covar_samp count_if kurtosis skewness percentile percentile_approx approx_percentile regr_avgx regr_avgy regr_count regr_intercept regr_r2 regr_slope regr_sxx regr_sxy regr_syy stddev stddev_pop stddev_samp var_pop var_samp variance collect_list collect_set array_agg first last hll_sketch_agg hll_union_agg theta_sketch_agg kll_sketch_agg_bigint kll_sketch_agg_double approx_count_distinct".split()
 } | {
     "approx_distinct": lambda x, e=0.023: F.approx_count_distinct(x, e), "approx_set": F.hll_sketch_agg, "merge": F.hll_union_agg, "cardinality": F.hll_sketch_estimate, "approx_most_frequent": lambda k, x: F.call_function("approx_top_k", x, F.lit(k)),
-    "arbitrary": F.any_value, "array_agg_nulls": keep_nulls, "bitwise_and_agg": F.bit_and, "bitwise_or_agg": F.bit_or, "bitwise_xor_agg": F.bit_xor, "bit_days_or": bit_days_or, "checksum": checksum, "entropy": entropy, "geometric_mean": lambda x: F.exp(F.avg(F.ln(x))),
+    **dict.fromkeys(("arbitrary", "any_value"), lambda x: F.any_value(x, True)), "array_agg_nulls": keep_nulls, "bitwise_and_agg": F.bit_and, "bitwise_or_agg": F.bit_or, "bitwise_xor_agg": F.bit_xor, "bit_days_or": bit_days_or, "checksum": checksum, "entropy": entropy, "geometric_mean": lambda x: F.exp(F.avg(F.ln(x))),
     "presto_kurtosis": sample_kurtosis, "std": F.stddev_pop, "max_n": lambda x, n: first_n(x, n, True), "min_n": lambda x, n: first_n(x, n, False), "max_by_n": lambda x, by, n: first_n_by(x, by, n, True), "min_by_n": lambda x, by, n: first_n_by(x, by, n, False),
     "map_agg": map_agg, "reduce_agg": lambda x, init, f, g=None: F.aggregate(F.collect_list(x), init, f) if g is None else F.aggregate(F.collect_list(x), init, f, g),
     "set_agg": F.collect_set, "set_union": lambda a: F.array_distinct(F.flatten(F.collect_list(a))), "max_data_size_for_stats": lambda x: F.max(F.octet_length(x)), "sum_data_size_for_stats": lambda x: F.sum(F.octet_length(x)),
+    **dict.fromkeys(("cpc", "hll"), lambda x, k=12: F.hll_sketch_estimate(F.hll_sketch_agg(x, k))), **dict.fromkeys(("cpc_sketch", "hll_sketch"), lambda x, k=12: F.hll_sketch_agg(x, k)), "hll_union_sketches": lambda x: F.hll_union_agg(x), "theta": lambda x: F.call_function("theta_sketch_estimate", F.call_function("theta_sketch_agg", x)),
+    "fi": lambda x, k=10: F.call_function("approx_top_k", x, F.lit(k)), "kll": quantile_sketch, **dict.fromkeys(("quantiles", "req"), lambda x, p, accuracy=100_000: F.percentile_approx(x, p, accuracy)),
+    **{f"kll_sketch_{t}": builtin("kll_sketch_agg_bigint") for t in "bsil"}, **{f"kll_sketch_{t}": lambda x: F.call_function("kll_sketch_agg_double", x.cast("double")) for t in "fd"}, "kll_sketch_c": lambda x: F.call_function("kll_sketch_agg_bigint", F.ascii(x).cast("bigint")),
+    "bloom_filter_agg": bloom_filter_aggregate,
     "first_ignore_null": lambda x: F.first(x, ignorenulls=True), "last_ignore_null": lambda x: F.last(x, ignorenulls=True), "regr_replacement": lambda x: F.var_pop(x) * F.count(x), "count_distinct": F.count_distinct,
 }
 

@@ -15,7 +15,10 @@ def _made(name: str, *arguments) -> Column:
     jvm = SparkContext._active_spark_context._jvm
     to = jvm.org.apache.spark.sql.classic.ExpressionUtils
     inner = [to.expression(a._jc) if isinstance(a, Column) else a for a in arguments]
-    made = getattr(jvm.org.apache.spark.sql.catalyst.expressions, name)(*inner)
+    kind = jvm.org.apache.spark.sql.catalyst.expressions
+    for part in name.split("."):
+        kind = getattr(kind, part)
+    made = kind(*inner)
     return type(F.lit(0))(to.column(made))
 
 
@@ -51,3 +54,22 @@ def legacy_cast(a: Column, kind: str | DataType) -> Column:
 def unscaled(d: Column) -> Column:
     """The whole number that a decimal of up to 18 digits keeps its digits in."""
     return _made("UnscaledValue", d)
+
+
+def try_(a: Column) -> Column:
+    """a, or null where its evaluation raises an error."""
+    return _made("TryEval", a)
+
+
+def bloom_filter_aggregate(x: Column, expected: int = 1_000_000, bits: int = 8_388_608) -> Column:
+    """A Bloom filter of the 64-bit hashes of x, partially aggregated; its size is that of its bits. Read by bloom_might_contain."""
+    made = _made("aggregate.BloomFilterAggregate", F.xxhash64(x), F.lit(expected).cast("bigint"), F.lit(bits).cast("bigint"))
+    jvm = SparkContext._active_spark_context._jvm
+    to = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    aggregate = to.expression(made._jc).toAggregateExpression()
+    return type(F.lit(0))(to.column(aggregate))
+
+
+def bloom_might_contain(bloom: Column, x: Column) -> Column:
+    """Whether a filter may hold x; bloom is a scalar subquery or a literal."""
+    return _made("BloomFilterMightContain", bloom, F.xxhash64(x))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.sources.connector import GeneratedTables, register_connectors
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Defaults of delimited text: fixed values.
 FIELD, COLLECTION, MAP_KEY, NULL = "\x01", "\x02", "\x03", "\\N"
@@ -83,7 +85,20 @@ def random_rows(spark: SparkSession, n: int, columns: dict[str, str], nulls: flo
     return df.select(*made)
 
 
-def to_batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
-    """Results partition by partition, for a consumer's callback."""
+def to_batches(df: DataFrame, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Results partition by partition as record batches of at most ``rows`` rows, for a consumer's callback."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema, held = to_arrow_schema(df.schema), []
     for row in df.toLocalIterator(prefetchPartitions=True):
-        yield row
+        held.append(row.asDict(recursive=True))
+        if len(held) == rows:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def with_bucket(df: DataFrame, name: str = "$bucket") -> DataFrame:
+    """df of a bucketed table with each row's bucket, from its file's name."""
+    return df.withColumn(name, F.regexp_extract(F.input_file_name(), "_([0-9]{5})(?:[.]c[0-9]+)?[^/_]*$", 1).cast("int"))
