@@ -11,7 +11,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,23 +77,6 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def as_bytes(column) -> list[bytes]:
-    """UTF-8 bytes of an Arrow string column; nulls give b''."""
-    return [x or b"" for x in column.cast("binary").to_pylist()]
-
-
-class WordHash(dict):
-    """Word (bytes) to 64-bit hash, remembered for at most ``limit`` words."""
-
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -1,19 +1,20 @@
 """Operator 2, toxicity by class-conditional Kneser-Ney models.
 
-Words are lower-cased runs without ASCII punctuation, hashed to WORDS ids. From labelled rows each
-class (toxic, ordinary) gets Kneser-Ney word probabilities: a word counts by the number of different
-words it follows (its continuation count, so copies of a text add nothing), less an absolute discount,
-and what the discount frees goes to continuation counts that both classes share. An expression rare
-in both classes therefore has the same likelihood in both, up to a constant. A document's evidence is
-the difference of the two log-likelihoods per word, over the whole text and over its worst windows of
-WINDOWS words (so a long text does not dilute a short insult), always divided by the length. The
-order above, conditioning on the word before, is left out: measured on held-out labels it memorises
-copied passages of labelled texts and ranks worse (README). A logistic curve, fitted
-on labelled rows that the counts have not seen, turns them into a score from 0 to 1.
-
-Bounds: the models are fitted on at most about LABELLED labelled rows (documents chosen by a hash of
-doc_id; the labels of these are what is broadcast), and their tables have WORDS slots
-whatever the corpus holds. Counting is a partial aggregation per task before one shuffle.
+Words are lower-cased runs without ASCII punctuation, by 64-bit hash. From labelled rows each class (toxic,
+ordinary) gets an interpolated Kneser-Ney bigram model. A pair of words counts by the number of different
+words before it, and a word by the number of different words it follows (continuation counts, so copies of a
+passage add nothing); each count is discounted by up to RARE. What the discount frees in the
+pairs of a word goes to the class's own words, and what it frees there to continuation counts that both
+classes share. An expression rare in both classes therefore has the same likelihood in both, up to a constant.
+A document's evidence is the difference of the two log-likelihoods per word, over the whole text and over its
+worst windows of WINDOWS words (so a long text does not dilute a short insult), always divided by the
+length. A logistic curve, fitted on labelled rows that the counts have not seen, turns them into a score from 0 to 1.
+
+Only what differs from the shared counts is kept to score with (Model): words and pairs counted above RARE
+in a class, and the words with such pairs. All other words and pairs have the same likelihood in both
+classes up to the classes' constants, so nothing is lost. Bounds: the models are fitted on at most about
+LABELLED labelled rows (documents chosen by a hash of doc_id; the labels of these are what is
+broadcast), and their tables grow with what these rows hold. Counting is a partial aggregation per task before each shuffle.
 
 Defined results: null and empty texts have no evidence and get the curve's value at 0; documents with
 null or several labels are toxic if any label is 1; doc_id null counts as unlabelled and not held
@@ -31,91 +32,138 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHash, as_bytes, cut, read, workers_import
+from tessera.llm.common import cut, mix, read, workers_import
+from tessera.llm.words import KEYS, buffer_of, word_hashes
 
-BITS = 20
-WORDS = 1 << BITS
 LABELLED = 200_000
 WINDOWS = (1, 4, 16)
-#: Discount of a word's continuation count: a class that has it in so few contexts only trusts the shared counts.
-RARE = 3.0
+#: Discount of a continuation count: a class that has a word or a pair in so few contexts only trusts what it backs off to.
+RARE = 3
 THRESHOLD = 0.7
 FEATURES = ("mean_evidence", *(f"worst_{k}" for k in WINDOWS))
-#: Upper case to lower case, other ASCII than letters and digits to a space.
-PLAIN = bytes((i + 32 if 65 <= i <= 90 else i) if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
+#: Other ASCII than letters and digits to a space.
+_PLAIN = np.array([i if i >= 128 or chr(i).isalnum() else 32 for i in range(256)], np.uint8)
 
 
-class WordIds(WordHash):
-    def __missing__(self, word: bytes) -> int:
-        i = super().__missing__(word) % (WORDS - 1) + 1  # 0: the start of a text
-        self[word] = i
-        return i
-
-
-_ids = WordIds()
-
-
-def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words of all texts, and the number of words of each."""
-    split = [t.translate(PLAIN).split() for t in texts]
-    n = np.array([len(x) for x in split], np.int64)
-    ids = np.fromiter((_ids[w] for x in split for w in x), np.int64, int(n.sum()))
-    return ids, n
-
-
-def histories(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The id before each word; 0 at the start of a text."""
-    h = np.empty_like(ids)
-    h[1:] = ids[:-1]
-    starts = np.cumsum(n) - n
-    h[starts[n > 0]] = 0
-    return h
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of texts (int64), the one before each (0 at the start of a text), and the number of words of each text."""
+    data, borders = buffer_of(texts)
+    words, first = word_hashes(_PLAIN[data], borders)
+    words = words.view(np.int64)
+    before = np.zeros_like(words)
+    before[1:] = words[:-1]
+    n = np.diff(first)
+    before[first[:-1][n > 0]] = 0
+    return words, before, n
 
 
 @dataclass
-class KneserNey:
-    """probability[class][word id]; class 0 is ordinary, 1 toxic."""
-
-    probability: np.ndarray
+class Model:
+    """Two classes, 0 ordinary and 1 toxic. Tables are sorted by their keys (int64); rows of values by class.
+
+    own: weight of what is left of a word's count; shared: the rest, by which the shared probability counts;
+    left: of a pair's count, divided by that of its first word; rest: what the first word leaves to single words.
+    """
+
+    words: np.ndarray
+    own: np.ndarray  # (2, words)
+    shared: np.ndarray  # (words,) shared probability
+    freed: tuple[float, float]
+    pairs: np.ndarray
+    left: np.ndarray  # (2, pairs)
+    firsts: np.ndarray
+    rest: np.ndarray  # (2, firsts)
+    unseen: float  # shared probability of a word that is not in the table; it cancels
+
+    def probabilities(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """p(word | the word before, class), by class; of words outside the tables up to a factor that the classes share."""
+        at, known = _find(self.words, words)
+        single = np.where(known, self.shared[at] if len(self.shared) else 0.0, self.unseen)
+        p = np.stack([np.where(known, self.own[c][at], 0.0) + self.freed[c] * single if len(self.words) else self.freed[c] * single for c in (0, 1)])
+        at, known = _find(self.firsts, before)
+        if known.any():
+            k = np.flatnonzero(known)
+            p[:, k] *= self.rest[:, at[k]]
+            pair, same = _find(self.pairs, pair_key(before[k], words[k]))
+            p[:, k[same]] += self.left[:, pair[same]]
+        return p
+
+    def evidence(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary) for each word."""
+        p = self.probabilities(words, before)
+        return np.log(p[1] / p[0])
 
-    def __post_init__(self) -> None:
-        self.gain = np.log(self.probability[1] / self.probability[0]).astype(np.float32)
 
-    def evidence(self, ids: np.ndarray) -> np.ndarray:
-        """log p(word | toxic) - log p(word | ordinary) for each word."""
-        return self.gain[ids]
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of keys in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
-def kneser_ney(counts: pa.Table) -> KneserNey:
-    """Models from rows (class, id, types): continuation counts by class and word id."""
-    after = np.zeros((2, WORDS))
-    after[counts.column("class").to_numpy(), counts.column("id").to_numpy()] = counts.column("types").to_numpy()
-    shared = (after.sum(0) + 1) / (after.sum() + WORDS)
-    seen = np.maximum(after.sum(1, keepdims=True), 1)
-    freed = np.minimum(after, RARE).sum(1, keepdims=True)
-    return KneserNey(np.maximum(after - RARE, 0) / seen + np.where(freed > 0, freed / seen, 1.0) * shared)
+def pair_key(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(mix(before.view(np.uint64) + KEYS[0]) ^ words.view(np.uint64)).view(np.int64)
 
 
-def continuation_counts(labelled: DataFrame) -> DataFrame:
-    """labelled (text, class) to rows (class, id, types), at most 2 * WORDS: the different words before each word."""
+def pair_counts(labelled: DataFrame, held: int = 1_000_000) -> DataFrame:
+    """labelled (text, class) to rows (class, h, w, n): the number of different words before the pair of words h, w; written."""
     workers_import(labelled.sparkSession)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots: list[np.ndarray] = []
         size = 0
-        for b in batches:
-            ids, n = word_ids(as_bytes(b.column(0)))
-            cls = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), n)
-            held.append(np.unique((cls << 2 * BITS) | (histories(ids, n) << BITS) | ids))
-            size += len(held[-1])
-            if size > 4_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["pair"])
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["pair"])
 
-    different = labelled.select(F.col("text").cast("string"), F.col("class").cast("long")).mapInArrow(pairs, "pair long").distinct()
-    return different.groupBy(F.shiftright("pair", 2 * BITS).cast("int").alias("class"), F.expr(f"cast(pair & {WORDS - 1} as int)").alias("id")).agg(F.count(F.lit(1)).alias("types"))
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(lots, axis=1)
+            key = mix(mix(mix(rows[1].view(np.uint64) + KEYS[1]) ^ rows[2].view(np.uint64)) ^ mix(rows[3].view(np.uint64) + rows[0].view(np.uint64)))
+            rows = rows[:, np.unique(key, return_index=True)[1]]
+            for lo in range(0, rows.shape[1], 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[lo : lo + 100_000])) for r in rows], ["class", "g", "h", "w"])
+
+        for b in batches:
+            words, before, n = hashed(b.column(0))
+            earlier = np.zeros_like(words)
+            earlier[1:] = before[:-1]
+            earlier[before == 0] = 0
+            lots.append(np.stack([np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), n), earlier, before, words]))
+            size += len(words)
+            if size > held:
+                yield from flush()
+                lots, size = [], 0
+        if size:
+            yield from flush()
+
+    different = labelled.select(F.col("text").cast("string"), F.col("class").cast("long")).mapInArrow(triples, "class long, g long, h long, w long").distinct()
+    return cut(different.groupBy("class", "h", "w").agg(F.count(F.lit(1)).alias("n")))
+
+
+def kneser_ney(counts: DataFrame, rare: int = RARE) -> Model:
+    """Models from pair_counts."""
+    of = lambda value, c: F.coalesce(F.sum(F.when(F.col("class") == c, value)), F.lit(0))
+    words = cut(counts.groupBy("w").agg(*(of(F.lit(1), c).alias(f"u{c}") for c in (0, 1))))
+    total = words.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(f"u{c}"), F.lit(0)) for c in (0, 1)), *(F.coalesce(F.sum(F.least(f"u{c}", F.lit(rare))), F.lit(0)) for c in (0, 1))).first()
+    kinds, seen, freed = total[0], total[1:3], total[3:5]
+    pairs = counts.where(F.col("n") > rare).groupBy("h", "w").agg(*(of(F.col("n"), c).alias(f"n{c}") for c in (0, 1)))
+    firsts = counts.groupBy("h").agg(*(of(F.col("n"), c).alias(f"t{c}") for c in (0, 1)), *(of(F.least("n", F.lit(rare)), c).alias(f"f{c}") for c in (0, 1))).where("f0 < t0 or f1 < t1")
+    pairs, firsts = pairs.toArrow(), firsts.toArrow()  # tables of what labelled rows, at most LABELLED, hold more than ``rare`` times
+    kept = counts.where(F.col("n") > rare).select(F.col("w").alias("x")).distinct()
+    known = words.join(kept, F.col("w") == F.col("x"), "left").where(f"u0 > {rare} or u1 > {rare} or x is not null").select("w", "u0", "u1").toArrow()
+    column = lambda t, c: t.column(c).to_numpy().astype(np.int64)
+    order = np.argsort(column(known, "w"))
+    u = np.stack([column(known, f"u{c}")[order] for c in (0, 1)])
+    own = np.stack([np.maximum(u[c] - rare, 0) / max(seen[c], 1) for c in (0, 1)])
+    by_first = np.argsort(column(firsts, "h"))
+    t, f = (np.stack([column(firsts, f"{x}{c}")[by_first] for c in (0, 1)]) for x in "tf")
+    h = column(firsts, "h")[by_first]
+    key = pair_key(column(pairs, "h"), column(pairs, "w"))
+    by_key = np.argsort(key)
+    at = np.searchsorted(h, column(pairs, "h")[by_key])
+    left = np.stack([np.maximum(column(pairs, f"n{c}")[by_key] - rare, 0) / np.maximum(t[c][at], 1) for c in (0, 1)])
+    return Model(
+        column(known, "w")[order], own, (u.sum(0) + 1) / (sum(seen) + max(kinds, 1)), tuple(freed[c] / seen[c] if seen[c] else 1.0 for c in (0, 1)),
+        key[by_key], left, h, np.where(t > 0, f / np.maximum(t, 1), 1.0), 1 / (sum(seen) + max(kinds, 1)),
+    )
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -131,7 +179,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def evidence(docs: DataFrame, model: KneserNey) -> DataFrame:
+def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """docs with n_words and FEATURES (evidence per word, of the text and of its worst windows) after its other columns; text goes."""
     spark = docs.sparkSession
     workers_import(spark)
@@ -142,8 +190,8 @@ def evidence(docs: DataFrame, model: KneserNey) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                ids, n = word_ids(as_bytes(part.column(part.num_columns - 1)))
-                sums = np.concatenate(([0.0], np.cumsum(sent.value.evidence(ids), dtype=np.float64)))
+                words, before, n = hashed(part.column(part.num_columns - 1))
+                sums = np.concatenate(([0.0], np.cumsum(sent.value.evidence(words, before))))
                 end = np.cumsum(n)
                 start = end - n
                 mean = (sums[end] - sums[start]) / np.maximum(n, 1)
@@ -151,7 +199,7 @@ def evidence(docs: DataFrame, model: KneserNey) -> DataFrame:
                 some = n > 0
                 if some.any():
                     # windows that begin at each word, cut at the end of its text
-                    first = np.arange(len(ids))
+                    first = np.arange(len(words))
                     for k, width in enumerate(WINDOWS):
                         last = np.minimum(first + width, np.repeat(end, n))
                         worst[k, some] = np.maximum.reduceat(sums[last] - sums[first], start[some]) / width
@@ -179,8 +227,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFr
     known = sample_labels(labels, most)
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0
     text = docs.select("doc_id", "text")
-    counts = continuation_counts(text.join(F.broadcast(known.where(~calibrates)), "doc_id").select("text", "class"))
-    scored = cut(evidence(text, kneser_ney(counts.toArrow())))
+    counts = pair_counts(text.join(F.broadcast(known.where(~calibrates)), "doc_id").select("text", "class"))
+    scored = cut(evidence(text, kneser_ney(counts)))
     seen = scored.join(F.broadcast(known.where(calibrates)), "doc_id").select(*FEATURES, "class").toArrow()
     x, y = np.column_stack([seen.column(k).to_numpy() for k in FEATURES]), seen.column("class").to_numpy().astype(float)
     if 0 < y.sum() < len(y):

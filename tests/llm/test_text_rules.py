@@ -127,6 +127,63 @@ def test_toxicity_finds_held_out_insults(spark):
     assert {r["score"] for r in T.toxicity(df.limit(3), spark.createDataFrame([], "doc_id long, toxic int")).collect()} == {0.0}
 
 
+def test_kneser_ney_matches_plain_counts(spark):
+    """Both orders by plain dictionaries: probabilities of words in the tables, ratios of the others; copies of texts change nothing."""
+    import random
+    from collections import defaultdict
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    word = lambda: f"w{min(rng.randrange(25), rng.randrange(25))}"
+    rows = [(" ".join(word() for _ in range(rng.randint(1, 40))), k % 3 == 0) for k in range(60)] + [("", True), (None, False), ("One, two-THREE!", True)]
+    rows += rows[:20]
+    df = spark.createDataFrame([(t, int(c)) for t, c in rows], "text string, class int")
+    model = T.kneser_ney(T.pair_counts(df, held=200))
+    split = lambda t: re.sub(r"[^0-9a-z\x80-\U0010ffff]", " ", (t or "").lower()).split()
+    triples = [set(), set()]
+    for t, c in rows:
+        w = ["", "", *split(t)]
+        triples[c] |= {(w[i - 2], w[i - 1], w[i]) for i in range(2, len(w))}
+    n, after, vocabulary = [Counter((h, w) for _, h, w in x) for x in triples], [], set()
+    for x in n:
+        after.append(Counter(w for _, w in x))
+        vocabulary |= set(after[-1])
+    total = sum(sum(a.values()) for a in after)
+    shared = lambda w: (after[0][w] + after[1][w] + 1) / (total + len(vocabulary))
+    single = lambda c, w: (max(after[c][w] - T.RARE, 0) + sum(min(x, T.RARE) for x in after[c].values()) * shared(w)) / sum(after[c].values())
+    of = [defaultdict(dict), defaultdict(dict)]
+    for c in (0, 1):
+        for (h, w), k in n[c].items():
+            of[c][h][w] = k
+
+    def p(c, h, w):
+        follow = of[c].get(h)
+        if not follow:
+            return single(c, w)
+        return (max(follow.get(w, 0) - T.RARE, 0) + sum(min(k, T.RARE) for k in follow.values()) * single(c, w)) / sum(follow.values())
+
+    texts = [t for t, _ in rows] + ["w1 w2 unseen w3 w1 unseen other", "two three one"]
+    words, before, lengths = T.hashed(pa.array(texts, pa.string()))
+    got, evidence = model.probabilities(words, before), model.evidence(words, before)
+    plain = [(h, w) for t in texts for h, w in zip(["", *split(t)], split(t), strict=False)]
+    assert lengths.tolist() == [len(split(t)) for t in texts] and len(plain) == len(words)
+    known = np.isin(words, model.words)
+    assert known.any() and not known.all()
+    for k, (h, w) in enumerate(plain):
+        if known[k]:
+            assert got[:, k] == pytest.approx([p(0, h, w), p(1, h, w)])
+        assert evidence[k] == pytest.approx(np.log(p(1, h, w) / p(0, h, w)))
+
+
+def test_toxicity_on_awkward_rows(spark):
+    """Clashing columns, long texts, repeated rows and null ids."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (3, None), (3, 1)], "doc_id long, toxic int")
+    out = T.toxicity(docs(spark).withColumns({"score": F.lit("x"), "class": F.lit("y"), "worst_1": F.lit(0)}), labels).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in awkward()) and all(0 <= r["score"] <= 1 for r in out)
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://WWW.Example.COM/en/x?q#f", None), (2, "http://example.com/en/", ""), (3, "http://a.net/fr/1", '<a href="http://b.org/x">'), (4, "http://b.org/", '<a href="//A.net/z">'), (5, None, None), (6, "no scheme", ""), (7, "http://com", ""), (8, "http://x.com?/en/", ""), (9, "s://a.net", ""), (3, "http://a.net/fr/1", None)]
     out = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -136,6 +193,40 @@ def test_urls(spark):
     assert U.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def linked_pages():
+    """Pages of many hosts with absolute links, a hub, hosts that are only linked to, rule-blocked pages and targets."""
+    import random
+
+    rng = random.Random(7)
+    hosts = [f"h{k}.{rng.choice(('org', 'net', 'com', 'io'))}" for k in range(40)] + ["hub.io"]
+    rows = []
+    for k in range(300):
+        host = rng.choice(hosts)
+        path = rng.choice(("/es/1", "/fr/2", "/en/3", "/", "/de/4"))
+        to = [rng.choice((*hosts, "hub.io", "hub.io", "gone.net", "lost.io")) for _ in range(rng.randint(0, 4))]
+        html = "".join(f'<a href="{rng.choice(("http://", "//", "HTTPS://"))}{t}{rng.choice(("/es/9", "/fr/8", "/x"))}">' for t in to) + '<a href="/local">'
+        rows.append((k, f"http://{host}{path}", html))
+    return [*rows, (300, None, None), (301, "http://lone.io/x", ""), (301, "http://lone.io/x", "")]
+
+
+def test_url_query_equals_its_sql_on_linked_pages(spark, tmp_path):
+    from compare import differences
+
+    folder = tmp_path / "sf"
+    folder.mkdir()
+    spark.createDataFrame(linked_pages(), "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    out = U.op8_link_graph_urls(spark, str(folder))
+    assert differences(out, U.ORACLE_SQL.replace("FROM pages", f"FROM read_parquet('{folder}/pages.parquet/*.parquet')"), "/root/testdata/sf0.001") == []
+    assert {r["verdict"] for r in out.where("rule is null").collect()} == {"allow", "block"}
+
+
+def test_targets_without_pages_spread_distrust(spark):
+    """The only evidence against a.org is that it links to a blocked page that was not crawled."""
+    rows = [(1, "http://a.org/x", '<a href="http://gone.net/fr/1">'), (2, "http://b.org/x", '<a href="http://kept.io/1">')]
+    out = {r["page_id"]: r["verdict"] for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "verdict": F.lit(2)})).collect()}
+    assert out == {1: "block", 2: "allow"}
+
+
 def test_propagation_matches_plain_loop(spark):
     import random
 
@@ -144,7 +235,7 @@ def test_propagation_matches_plain_loop(spark):
     edges = {(rng.choice(hosts), rng.choice(hosts)): rng.randint(1, 5) for _ in range(40)}
     edges = {e: n for e, n in edges.items() if e[0] != e[1]}
     seeds = [(h, rng.randint(0, 3), rng.randint(0, 3)) for h in hosts[:9]]
-    out = {r["host"]: (r["trust"], r["distrust"]) for r in U.propagate(spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trusted long, blocked long"), rounds=4).collect()}
+    out = {r["host"]: (r["trust"], r["distrust"]) for r in U.propagate(spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trusted long, blocked long"), rounds=4, tolerance=0.0, salts=3).collect()}
     trust, bad = {h: 0.0 for h in hosts} | {h: float(t) for h, t, _ in seeds}, {h: 0.0 for h in hosts} | {h: float(b) for h, _, b in seeds}
     t0, b0 = dict(trust), dict(bad)
     for _ in range(4):
