@@ -51,6 +51,30 @@ def test_long_runs_end_soon(text):
     S.find([text], S.model())
 
 
+#: Written by hand, outside the templates: text, and what must be found in it beyond the base patterns.
+PERSONAL = [
+    ("please write to jane.doe [at] example [dot] org about it", [("email", "jane.doe [at] example [dot] org")]), ("contact: bob(at)acme(dot)com", [("email", "bob(at)acme(dot)com")]), ("mail me, ann_lee at mailbox dot org, thanks", [("email", "ann_lee at mailbox dot org")]), ("ssn 078-05-1120 on file", [("national_id", "078-05-1120")]), ("social security 219 09 9999", [("national_id", "219 09 9999")]),
+    ("call (415) 555-0132 tonight", [("phone", "(415) 555-0132")]), ("tel: 020 7946 0958", [("phone", "020 7946 0958")]), ("Telefon 0171/4433 221", [("phone", "0171/4433 221")]), ("téléphone : 06 12 34 56 78", [("phone", "06 12 34 56 78")]), ("mobile 07700900123 please", [("phone", "07700900123")]),
+    ("account DE89 3704 0044 0532 0130 00 at the bank", [("iban", "DE89 3704 0044 0532 0130 00")]), ("IBAN GB29NWBK60161331926819", [("iban", "GB29NWBK60161331926819")]), ("host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up", [("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334")]), ("card 4111.1111.1111.1111 expired", [("card", "4111.1111.1111.1111")]),
+    ("on 2024-03-18 we met", []), ("pages 1999-2004 of volume 3", []), ("version 10.12.13 since 12/11/2023", []), ("ISBN 978-3-16-148410-0 is a book", []), ("order 123-456 and invoice 2023/0417", []), ("it costs 1.234.567,89 euro", []), ("meet me at noon (at) the bar . fine", []), ("look at the small dot there", []), ("12:30:45:10 and 00:1A:2B:3C:4D:5E", []), ("figure 3 4 5 and 100 200 300", []),
+]
+
+
+def test_trees_on_texts_written_by_hand():
+    found = [[(k, t[a:b]) for a, b, k in P.find(t, *P.model())[1]] for t, _ in PERSONAL]
+    wanted = [(x, got) for (_, want), got in zip(PERSONAL, found, strict=True) for x in want]
+    assert sum(x in got for x, got in wanted) >= 0.9 * len(wanted), [(x, got) for x, got in wanted if x not in got]
+    assert [got for (_, want), got in zip(PERSONAL, found, strict=True) if not want and got] == []
+
+
+def test_trees_add_nothing_false_to_the_documents():
+    """All personal data of this table is of the base kinds."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    assert [(t[a:b], k) for t in texts for base, spans in [P.find(t, *P.model())] for a, b, k in spans if (a, b, k) not in base] == []
+
+
 def test_boosting_on_unseen_examples():
     import numpy as np
 
