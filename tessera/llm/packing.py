@@ -84,12 +84,33 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def any_step(bins: list[list[int]], size: list[int], fill: list[int], order: list[int], capacity: int) -> tuple[int, int] | None:
+    """A source and a target among the bins of order (emptiest first) that have a step, the fullest target; None if no two have one."""
+    fills = np.array([fill[k] for k in order])
+    room = capacity - fills
+    at = np.repeat(np.arange(len(order)), [len(bins[k]) for k in order])
+    single = np.array([size[j] for k in order for j in bins[k]])
+    twos = [(x, size[i] + size[j]) for x, k in enumerate(order) for y, i in enumerate(bins[k]) for j in bins[k][y + 1 :]]
+    pair_at, pair = np.array([x for x, _ in twos], np.int64), np.array([v for _, v in twos], np.int64)
+    for x, a in enumerate(order):
+        for s in sorted({size[i] for i in bins[a]}, reverse=True):
+            fits = np.flatnonzero(room[x:] >= s) + x
+            ones = at[(single < s) & (single >= s - room[at]) & (at >= x)]
+            both = pair_at[(pair < s) & (pair >= s - room[pair_at]) & (pair_at >= x)]
+            found = np.concatenate([fits, ones, both])
+            found = found[(found != x) & (fills[found] >= fills[x])]
+            if len(found):
+                return a, order[int(found.max())]
+    return None
+
+
 def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, width: int = 64) -> list[list[int]]:
-    """bins with fewer or fuller bins: steps that raise the sum of squared fills, until none is found.
+    """bins with fewer or fuller bins: steps that raise the sum of squared fills, until no underfull bin has any.
 
-    The source of a step is one of the ``width`` emptiest bins; its targets are the fuller underfull
-    bins, the ``width`` with most room first. Steps: move one piece; exchange it with one smaller
-    piece; exchange it with two pieces that are smaller together.
+    Sources of steps are the ``width`` emptiest bins, their targets fuller bins among the 4 * width emptiest, the
+    fullest first. Where these have no step left, all pairs of underfull bins are looked at (any_step), and the
+    search ends when not even these have one. Steps: move one piece; exchange it with one smaller piece; exchange it with two
+    pieces that are smaller together.
     """
     size = sizes.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
@@ -137,7 +158,12 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, width:
                 break
         live = {k for k in live if fill[k] < capacity}
         if not moved:
-            break
+            pair = any_step(bins, size, fill, sorted(live, key=lambda k: (fill[k], k)), capacity)
+            if pair is None or not step(pair[0], [pair[1]]):
+                break
+            if not bins[pair[0]]:
+                live.discard(pair[0])
+                count -= 1
     return [b for b in bins if b]
 
 
