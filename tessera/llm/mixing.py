@@ -20,6 +20,8 @@ most MOST times; an empty table gives no rows; other columns stay untouched (equ
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,7 +71,7 @@ def flight(p: np.ndarray, size: np.ndarray, open_at_end: int = 2) -> None:
     """
     todo = np.flatnonzero((p > EPS) & (p < 1 - EPS)).tolist()[::-1]
     p_, s_ = p.tolist(), size.astype(float).tolist()
-    rng = np.random.default_rng(len(todo))
+    rng = np.random.default_rng(zlib.crc32(np.concatenate([p, size.astype(float)]).tobytes()))  # coins of the block's content
     coin = rng.random(len(todo) + 8).tolist()
     hand: list[int] = []
     while len(hand) + len(todo) > open_at_end and len(hand) + len(todo) >= 3:
