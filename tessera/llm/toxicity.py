@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,9 @@ LABELLED = 200_000
 WINDOWS = (1, 4, 16)
 #: Discount of a continuation count: a class that has a word or a pair in so few contexts only trusts what it backs off to.
 RARE = 3
+#: Ranges of first words and of words in which counts meet.
+RANGES = 128
+COUNTS = ["range", "words", "u0", "u1", "h", "w", "n0", "n1", "first", "t0", "t1", "f0", "f1"]
 THRESHOLD = 0.7
 FEATURES = ("mean_evidence", *(f"worst_{k}" for k in WINDOWS))
 #: Other ASCII than letters and digits to a space.
@@ -106,27 +110,43 @@ def pair_key(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(mix(before.view(np.uint64) + KEYS[0]) ^ words.view(np.uint64)).view(np.int64)
 
 
-def pair_counts(labelled: DataFrame, held: int = 1_000_000) -> DataFrame:
-    """labelled (text, class) to rows (class, h, w, n): the number of different words before the pair of words h, w; written."""
+def _blobs(key: int, *arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([key], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)]
+
+
+def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def pair_counts(labelled: DataFrame, rare: int = RARE, held: int = 1_000_000) -> DataFrame:
+    """labelled (text, class) to counts as packed arrays; written. Rows with words hold, for a range of words, how many words each follows in
+    either class (a part of the whole from each range of first words); the others hold the pairs counted above ``rare`` and the first words of such pairs.
+
+    A pair counts by the number of different words before it. A task sorts up to ``held`` words at a time;
+    they meet by ranges of the pair's first word, of which there are RANGES, as the labelled rows are bounded.
+    """
     workers_import(labelled.sparkSession)
+    wide = np.uint64(2**64 // RANGES)
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lots: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate(lots, axis=1)
-            key = mix(mix(mix(rows[1].view(np.uint64) + KEYS[1]) ^ rows[2].view(np.uint64)) ^ mix(rows[3].view(np.uint64) + rows[0].view(np.uint64)))
-            rows = rows[:, np.unique(key, return_index=True)[1]]
-            for lo in range(0, rows.shape[1], 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[lo : lo + 100_000])) for r in rows], ["class", "g", "h", "w"])
+            h, w, before = _distinct(*np.concatenate(lots, axis=1))
+            border = np.searchsorted(h // wide, np.arange(RANGES + 1, dtype=np.uint64))
+            for k in np.flatnonzero(np.diff(border)).tolist():
+                part = slice(border[k], border[k + 1])
+                yield pa.RecordBatch.from_arrays(_blobs(k, h[part], w[part], before[part].astype(np.uint32)), ["range", "h", "w", "before"])
 
         for b in batches:
-            words, before, n = hashed(b.column(0))
+            words, first, n = hashed(b.column(0))
             earlier = np.zeros_like(words)
-            earlier[1:] = before[:-1]
-            earlier[before == 0] = 0
-            lots.append(np.stack([np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), n), earlier, before, words]))
+            earlier[1:] = first[:-1]
+            earlier[first == 0] = 0
+            cls = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.uint64), n)
+            # what stands before a pair, by 31 bits of its hash, and the class
+            lots.append(np.stack([first.view(np.uint64), words.view(np.uint64), mix(earlier.view(np.uint64)) >> np.uint64(33) << np.uint64(1) | cls]))
             size += len(words)
             if size > held:
                 yield from flush()
@@ -134,28 +154,66 @@ def pair_counts(labelled: DataFrame, held: int = 1_000_000) -> DataFrame:
         if size:
             yield from flush()
 
-    different = labelled.select(F.col("text").cast("string"), F.col("class").cast("long")).mapInArrow(triples, "class long, g long, h long, w long").distinct()
-    return cut(different.groupBy("class", "h", "w").agg(F.count(F.lit(1)).alias("n")))
+    def count(table: pa.Table) -> pa.Table:
+        h, w, before = _distinct(_column(table, "h", "<u8"), _column(table, "w", "<u8"), _column(table, "before", "<u4").astype(np.uint64))
+        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]))))
+        toxic = np.add.reduceat((before & np.uint64(1)).astype(np.int64), new)
+        n = np.stack([np.diff(np.append(new, len(h))) - toxic, toxic])
+        h, w = h[new], w[new]
+        kept = (n > rare).any(0)
+        of = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        t, f = (np.stack([np.add.reduceat(x[c], of) for c in (0, 1)]) for x in (n, np.minimum(n, rare)))
+        some = (f < t).any(0)
+        none = np.empty(0, np.int64)
+        rows = [_blobs(-1, none, none, none, h[kept], w[kept], n[0, kept], n[1, kept], h[of][some], t[0, some], t[1, some], f[0, some], f[1, some])]
+        x, inverse = np.unique(w, return_inverse=True)
+        u = [np.bincount(inverse, n[c] > 0, len(x)).astype(np.int32) for c in (0, 1)]
+        border = np.searchsorted(x // wide, np.arange(RANGES + 1, dtype=np.uint64))
+        for k in np.flatnonzero(np.diff(border)).tolist():
+            part = slice(border[k], border[k + 1])
+            rows.append(_blobs(k, x[part], u[0][part], u[1][part], *[none] * 9))
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(row, COUNTS) for row in rows])
+
+    lots = labelled.select(F.col("text").cast("string"), F.col("class").cast("long")).mapInArrow(triples, "range long, h binary, w binary, before binary")
+    return cut(lots.groupBy("range").applyInArrow(count, "range long, " + ", ".join(f"{c} binary" for c in COUNTS[1:])))
+
+
+def _distinct(h: np.ndarray, w: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different rows in order."""
+    order = np.lexsort((before, w, h))
+    h, w, before = h[order], w[order], before[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (before[1:] != before[:-1])
+    return h[new], w[new], before[new]
 
 
 def kneser_ney(counts: DataFrame, rare: int = RARE) -> Model:
     """Models from pair_counts."""
-    of = lambda value, c: F.coalesce(F.sum(F.when(F.col("class") == c, value)), F.lit(0))
-    words = cut(counts.groupBy("w").agg(*(of(F.lit(1), c).alias(f"u{c}") for c in (0, 1))))
-    total = words.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(f"u{c}"), F.lit(0)) for c in (0, 1)), *(F.coalesce(F.sum(F.least(f"u{c}", F.lit(rare))), F.lit(0)) for c in (0, 1))).first()
-    kinds, seen, freed = total[0], total[1:3], total[3:5]
-    pairs = counts.where(F.col("n") > rare).groupBy("h", "w").agg(*(of(F.col("n"), c).alias(f"n{c}") for c in (0, 1)))
-    firsts = counts.groupBy("h").agg(*(of(F.col("n"), c).alias(f"t{c}") for c in (0, 1)), *(of(F.least("n", F.lit(rare)), c).alias(f"f{c}") for c in (0, 1))).where("f0 < t0 or f1 < t1")
-    pairs, firsts = pairs.toArrow(), firsts.toArrow()  # tables of what labelled rows, at most LABELLED, hold more than ``rare`` times
-    kept = counts.where(F.col("n") > rare).select(F.col("w").alias("x")).distinct()
-    known = words.join(kept, F.col("w") == F.col("x"), "left").where(f"u0 > {rare} or u1 > {rare} or x is not null").select("w", "u0", "u1").toArrow()
-    column = lambda t, c: t.column(c).to_numpy().astype(np.int64)
+    above = counts.where("range < 0").drop("words", "u0", "u1").toArrow()  # what labelled rows, at most LABELLED, hold more than ``rare`` times
+    pairs = {c: _column(above, c, "<i8") for c in ("h", "w", "n0", "n1")}
+    firsts = {c: _column(above, c, "<i8") for c in ("first", "t0", "t1", "f0", "f1")}
+    kept = np.unique(pairs["w"])
+    sent = counts.sparkSession.sparkContext.broadcast(kept)
+
+    def meet(table: pa.Table) -> pa.Table:
+        x, inverse = np.unique(_column(table, "words", "<i8"), return_inverse=True)
+        u = np.stack([np.bincount(inverse, _column(table, f"u{c}", "<i4"), len(x)).astype(np.int64) for c in (0, 1)])
+        some = (u > rare).any(0) | np.isin(x, sent.value)
+        totals = [len(x), *u.sum(1).tolist(), *np.minimum(u, rare).sum(1).tolist()]
+        return pa.table({"w": pa.array([*x[some].tolist(), None], pa.int64()), **{f"u{c}": pa.array([*u[c, some].tolist(), None], pa.int64()) for c in (0, 1)}, "totals": pa.array([None] * int(some.sum()) + [totals], pa.list_(pa.int64()))})
+
+    met = counts.where("range >= 0").select("range", "words", "u0", "u1").groupBy("range").applyInArrow(meet, "w long, u0 long, u1 long, totals array<long>").toArrow()
+    sent.destroy()
+    totals = np.array([x for x in met.column("totals").to_pylist() if x] or [[0] * 5]).sum(0).tolist()
+    kinds, seen, freed = totals[0], totals[1:3], totals[3:5]
+    known = met.filter(pa.compute.is_valid(met.column("w")))
+    column = lambda t, c: t[c] if isinstance(t, dict) else t.column(c).to_numpy().astype(np.int64)
     order = np.argsort(column(known, "w"))
     u = np.stack([column(known, f"u{c}")[order] for c in (0, 1)])
     own = np.stack([np.maximum(u[c] - rare, 0) / max(seen[c], 1) for c in (0, 1)])
-    by_first = np.argsort(column(firsts, "h"))
+    by_first = np.argsort(column(firsts, "first"))
     t, f = (np.stack([column(firsts, f"{x}{c}")[by_first] for c in (0, 1)]) for x in "tf")
-    h = column(firsts, "h")[by_first]
+    h = column(firsts, "first")[by_first]
     key = pair_key(column(pairs, "h"), column(pairs, "w"))
     by_key = np.argsort(key)
     at = np.searchsorted(h, column(pairs, "h")[by_key])
