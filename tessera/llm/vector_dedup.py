@@ -10,8 +10,11 @@ asymmetric distance is at most r plus its own quantisation error, again the tria
 link is lost. Candidates are reranked by the exact cosine in double precision.
 
 Only vectors with equal labels (and lengths) meet. Equal vectors are first merged into one that
-carries their number. A list of one label is dealt over blocks of about BLOCK members and its probing
-vectors over blocks of the same size; a task compares two blocks and returns a number of links per
+carries their number. Quantisers have 1, 2, 4, ... lists; a label takes the one whose lists hold about BLOCK of its
+vectors, so that a vector is sent to few lists (in many dimensions an isolated one must probe a fixed share of all
+lists, whatever their number). Lists grow beyond BLOCK only where the sample supports no more of them. A list of one
+label is dealt over blocks of about BLOCK members and its probing vectors over blocks of the same size; vectors of
+floats travel as floats and are scaled where they are compared. A task compares two blocks and returns a number of links per
 vector and a spanning forest of the links, never the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null, NaN or infinite components, and those
@@ -31,17 +34,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tessera.llm.common import cut, read, workers_import
 from tessera.llm.graph import components, forest
 
 COSINE = 0.93
 SAMPLE = 20_000
-LISTS = 1024
+#: Sampled vectors for each list of the largest quantiser.
+FOR_LIST = 16
 SUBSPACES = 8
 CODES = 128
-BLOCK = 1000
+BLOCK = 2000
 SLACK = 1e-6
+#: Labels of which the levels are sent to every executor; beyond, Spark chooses the join.
+BROADCAST_LABELS = 50_000
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -107,7 +114,12 @@ class Quantiser:
 
 
 def unit(values: pa.Array, size: int) -> np.ndarray:
-    x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return scaled(values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision."""
+    x = x.astype(np.float64)
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
@@ -115,62 +127,73 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     """vectors (vec_id long, embedding array of float or double, label) with n_links, component_id and kept."""
     workers_import(vectors.sparkSession)
     r = math.sqrt(2 - 2 * cosine)
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"), F.monotonically_increasing_id().alias("__row"))
+    # floats and their squares stay in the range of doubles and travel as they are
+    floats = isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)
+    kind = "<f4" if floats else "<f8"
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if floats else "array<double>").alias("embedding"), F.col("label").cast("string").alias("label"), F.monotonically_increasing_id().alias("__row"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.col("label").isNotNull() & F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    # squares of very small or large components leave the range of doubles: scale by the largest
-    scaled = F.expr("transform(embedding, x -> x / array_max(transform(embedding, y -> abs(y))))")
-    rows = cut(rows.withColumn("embedding", F.when(usable, scaled)))
-    classes = cut(rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("__row").alias("node"), F.count(F.lit(1)).alias("n")).withColumn("size", F.size("embedding")))
-    total = classes.count()
+    # squares of very small or large doubles leave their range: scale by the largest
+    value = F.col("embedding") if floats else F.expr("transform(embedding, x -> x / array_max(transform(embedding, y -> abs(y))))")
+    rows = cut(rows.withColumn("embedding", F.when(usable, value)))
+    classes = rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("__row").alias("node"), F.count(F.lit(1)).alias("n")).withColumn("size", F.size("embedding"))
+    classes = cut(classes)
+    # a label's quantiser has 2 ** level lists
+    most_lists = max(1, sample // FOR_LIST)
+    level = F.floor(F.log2(F.greatest(F.lit(1.0), F.least(F.lit(float(most_lists)), F.col("m") / block)))).cast("int")
+    labels = cut(classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("m")).select(F.col("label").alias("of"), F.col("size").alias("long"), level.alias("level"), "m"))
+    total, many = labels.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count(F.lit(1))).first()
+    known = labels.drop("m")
+    classes = classes.join(F.broadcast(known) if many <= BROADCAST_LABELS else known, (F.col("label") == F.col("of")) & (F.col("size") == F.col("long"))).drop("of", "long")
     share = min(1.0, sample / max(total, 1))
     chosen = classes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * share)).select("size", "embedding").toArrow()
-    lists = max(1, min(LISTS, int(math.sqrt(total))))
-    model: dict[int, Quantiser] = {}
-    for size in sorted(set(chosen.column("size").to_pylist())):
-        x = unit(chosen.filter(pa.compute.equal(chosen.column("size"), size)).column("embedding").combine_chunks(), size)
-        model[size] = Quantiser.fit(x, lists)
+    model: dict[tuple[int, int], Quantiser] = {}
+    for size, at in sorted((x["long"], x["level"]) for x in labels.select("long", "level").distinct().collect()):  # vector lengths by at most log2(sample) levels
+        of = chosen.filter(pa.compute.equal(chosen.column("size"), size)).column("embedding").combine_chunks()
+        if len(of):
+            model[size, at] = Quantiser.fit(unit(of, size), 2**at)
     sent = vectors.sparkSession.sparkContext.broadcast(model)
 
-    def quantiser(size: int) -> Quantiser:
+    def quantiser(size: int, at: int) -> Quantiser:
         # a length that the sample misses gets one list and no codes; bounds hold all the same
-        return sent.value.get(size) or Quantiser(np.zeros((1, size)), [np.zeros((1, size))])
+        return sent.value.get((size, at)) or Quantiser(np.zeros((1, size)), [np.zeros((1, size))])
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for size, part in frame.groupby("size"):
-                x = np.stack(part["embedding"].to_numpy())
-                x = x / np.sqrt((x**2).sum(1))[:, None]
-                q = quantiser(size)
-                at, codes, error = q.encode(x)
-                far = np.sqrt(((x - q.centroids[at]) ** 2).sum(1))
-                yield part.drop(columns="embedding").assign(unit=[row.tobytes() for row in x], list=at, codes=[row.tobytes() for row in codes], error=error, far=far)
-
-    indexed = cut(classes.select("label", "size", "node", "n", "embedding").mapInPandas(index, "label string, size int, node long, n long, unit binary, list long, codes binary, error double, far double"))
-    radius: dict[int, np.ndarray] = {}
-    for row in indexed.groupBy("size", "list").agg(F.max("far").alias("far")).collect():  # at most LISTS rows for each vector length
-        radius.setdefault(row["size"], np.full(lists, -2 * r - 2))[row["list"]] = row["far"]
+            for (size, at), part in frame.groupby(["size", "level"]):
+                raw = np.stack(part["embedding"].to_numpy()).astype(kind)
+                x = scaled(raw)
+                q = quantiser(size, at)
+                near, codes, error = q.encode(x)
+                far = np.sqrt(((x - q.centroids[near]) ** 2).sum(1))
+                yield part.drop(columns="embedding").assign(unit=[row.tobytes() for row in raw], list=near, codes=[row.tobytes() for row in codes], error=error, far=far)
+
+    indexed = cut(classes.select("label", "size", "level", "node", "n", "embedding").mapInPandas(index, "label string, size int, level int, node long, n long, unit binary, list long, codes binary, error double, far double"))
+    radius: dict[tuple[int, int], np.ndarray] = {}
+    for row in indexed.groupBy("size", "level", "list").agg(F.max("far").alias("far")).collect():  # a row for each list of the quantisers
+        radius.setdefault((row["size"], row["level"]), np.full(2 ** row["level"], -2 * r - 2))[row["list"]] = row["far"]
     reach = vectors.sparkSession.sparkContext.broadcast(radius)
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for size, part in frame.groupby("size"):
-                q = quantiser(size)
-                x = np.stack([np.frombuffer(u) for u in part["unit"]])
-                lists_of = [p.tolist() for p in q.probes(x, part["list"].to_numpy(), reach.value[size][: len(q.centroids)], r)]
-                yield part[["label", "size", "node"]].assign(probes=lists_of)
-
-    probes = indexed.select("label", "size", "node", "unit", "list").mapInPandas(probe, "label string, size int, node long, probes array<long>")
-    probes = cut(probes.select("label", "size", "node", F.explode("probes").alias("list")))
+            for (size, at), part in frame.groupby(["size", "level"]):
+                q = quantiser(size, at)
+                x = scaled(np.stack([np.frombuffer(u, kind) for u in part["unit"]]))
+                lists_of = [p.tolist() for p in q.probes(x, part["list"].to_numpy(), reach.value[size, at][: len(q.centroids)], r)]
+                yield part[["label", "size", "level", "node", "n", "unit"]].assign(home=part["list"], probes=lists_of)
+
+    probed = indexed.select("label", "size", "level", "node", "n", "unit", "list").mapInPandas(probe, "label string, size int, level int, node long, n long, unit binary, home long, probes array<long>")
+    probed = cut(probed)
+    probes = probed.select("label", "size", "level", "node", "n", "unit", "home", F.explode("probes").alias("list"))
     key = ["label", "size", "list"]
     deal = lambda rows, name: rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
     blocks = deal(indexed, "member_blocks").join(deal(probes, "query_blocks"), key)
     blocks = cut(blocks)
-    member = indexed.select(*key, "node", "n", "unit", "codes", "error").join(blocks, key).withColumn("mb", F.pmod(F.xxhash64("node"), F.col("member_blocks")))
+    member = indexed.select(*key, "level", "node", "n", "unit", "codes", "error").join(blocks, key).withColumn("mb", F.pmod(F.xxhash64("node"), F.col("member_blocks")))
     member = member.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
-    query = probes.join(indexed.select("node", "n", "unit", F.col("list").alias("home")), "node").join(blocks, key).withColumn("qb", F.pmod(F.xxhash64("node"), F.col("query_blocks")))
+    query = probes.join(blocks, key).withColumn("qb", F.pmod(F.xxhash64("node"), F.col("query_blocks")))
     query = query.withColumn("mb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("member_blocks") - 1)))
-    columns = [*key, "mb", "qb", "node", "n", "unit", "home", "codes", "error"]
+    columns = [*key, "level", "mb", "qb", "node", "n", "unit", "home", "codes", "error"]
     none = {"codes": F.lit(None).cast("binary"), "error": F.lit(None).cast("double")}
     both = member.withColumn("home", F.lit(-1).cast("long")).select(*columns).unionByName(query.withColumns(none).select(*columns))
 
@@ -179,10 +202,10 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
         if not len(m) or not len(q):
             return pd.DataFrame({"a": pd.array([], "Int64"), "b": pd.array([], "Int64"), "links": pd.array([], "Int64")})
         size, at = int(frame["size"].iloc[0]), int(frame["list"].iloc[0])
-        x, y = (np.stack([np.frombuffer(u) for u in part["unit"]]) for part in (q, m))
+        x, y = (scaled(np.stack([np.frombuffer(u, kind) for u in part["unit"]])) for part in (q, m))
         codes = np.stack([np.frombuffer(u, np.uint8) for u in m["codes"]])
         node, other = q["node"].to_numpy(), m["node"].to_numpy()
-        candidate = quantiser(size).distances(x, at, codes) <= r + m["error"].to_numpy() + SLACK
+        candidate = quantiser(size, int(frame["level"].iloc[0])).distances(x, at, codes) <= r + m["error"].to_numpy() + SLACK
         # two vectors of one list meet from both sides and count once
         candidate &= (q["home"].to_numpy() < at)[:, None] | (node[:, None] < other)
         i, j = np.nonzero(candidate)

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cases import awkward, docs, groups, sets
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join as J
 from tessera.llm import vector_dedup as V
@@ -278,8 +279,22 @@ def test_vectors_match_brute_force(spark):
 
     root = groups(rows, close)
     want = sorted((r[0], sum(close(r, s) for j, s in enumerate(rows) if j != k), min(rows[i][0] for i in range(len(rows)) if root[i] == root[k])) for k, r in enumerate(rows))
-    for block in (40, 1000):
-        out = V.link_vectors(df, block=block, sample=150).collect()
+    for block, sample in ((40, 150), (10, 1000), (1000, 150)):
+        out = V.link_vectors(df.withColumns({"n": F.lit("x"), "list": F.lit(0)}), block=block, sample=sample).collect()
         assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == want
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
     assert V.link_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_of_floats_match_brute_force(spark):
+    """Floats, of lengths far from 1 too, are compared in double precision; repeated rows link."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 24))
+    rows = [(k, ((centres[k % 12] + rng.normal(size=24) * rng.choice([0.05, 0.28])) * 10.0 ** int(rng.integers(-30, 30))).astype(np.float32).tolist(), int(k % 2)) for k in range(260)]
+    rows += rows[:9]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    same = np.array([[a[2] == b[2] for b in rows] for a in rows]) & (x @ x.T >= 0.93) & ~np.eye(len(rows), dtype=bool)
+    out = V.link_vectors(df, block=30).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in out) == sorted((r[0], int(same[k].sum())) for k, r in enumerate(rows))
