@@ -17,7 +17,7 @@ def test_every_sql_has_its_query():
 
 
 def test_the_rest_works_without_the_optional_subpackage(tmp_path):
-    for name in ("tessera", "__spark_entry__.py"):
+    for name in ("tessera", "__spark_entry__.py", "corpus_pipeline.py"):
         source = ROOT / name
         shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(k.startswith('op1') or k == 'pipeline' for k in q)"
