@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.evaluation import bloom_filter_aggregate
@@ -127,6 +127,27 @@ def merge_maps(df: DataFrame, keys: Sequence[str], column: str, how: str) -> Dat
     return entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias(column))
 
 
+def top_values(df: DataFrame, keys: Sequence[str], x: str, n: int, by: str | None = None, largest: bool = True, name: str = "top") -> DataFrame:
+    """max_n, min_n, max_by_n and min_by_n of large groups: each task keeps n rows of a group before the shuffle."""
+    order = F.col(by or x)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc() if largest else order.asc()))
+    few = df.where(order.isNotNull()).select(*keys, x, rank.alias("__r")).where(F.col("__r") <= n)
+    return few.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(x).alias("v")))), lambda s: s["v"]).alias(name))
+
+
+def set_union(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """The different elements of a group's arrays, in order: equal ones are dropped before anything is collected."""
+    return df.select(*keys, F.explode(column).alias("__e")).distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("__e")).alias(column))
+
+
+def merge_bit_days(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """bit_days_or of large groups: words are aligned at the right; of each place the largest marker and the union of the bits below the markers, both partially aggregated."""
+    word = F.col("__v")
+    marker = F.when(word > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(word)) - 1)).otherwise(F.lit(0).cast("bigint"))
+    places = df.select(*keys, F.posexplode(F.reverse(column)).alias("__p", "__v")).groupBy(*keys, "__p").agg(F.max(marker).bitwiseOR(F.bit_or(word.bitwiseAND(F.bitwise_not(marker)))).alias("__v"))
+    return places.groupBy(*keys).agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__v"))), lambda s: s["__v"])).alias(column))
+
+
 def merge_arrays(df: DataFrame, keys: Sequence[str], column: str, how: str = "array_addition") -> DataFrame:
     """Element-wise sums (array_addition) or non-null counts (array_count); a position without values is null or 0."""
     value = {"array_addition": F.sum, "array_count": F.count}[how]("__v")

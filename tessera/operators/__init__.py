@@ -94,13 +94,25 @@ def row_number(df: DataFrame, keys: Sequence[str] = (), limit: int | None = None
     return placed.join(F.broadcast(starts), F.col("__part") == F.col("__p")).select(*df.columns, (F.col("__before") + F.col("__id") - F.col("__first") + 1).cast("int").alias(name))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
-    """left with values of the latest row of right at or before left_time: one union and one window, no range join."""
+def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """left with values of the latest row of right at or before left_time: one union and one window, no range join.
+
+    bucket: a rising function of time (such as ``lambda t: F.floor(t / 1000)``) by which the rows of a hot key are dealt over
+    tasks; each bucket also gets the last row of right before it, found among one row for each bucket of a key.
+    """
     pack = F.struct(*values)
-    a = left.select(*by, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(pack.alias("p")).schema["p"].dataType).alias("__v"))
+    kind = right.select(pack.alias("p")).schema["p"].dataType
+    a = left.select(*by, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(kind).alias("__v"))
     b = right.select(*by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), pack.alias("__v"))
-    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = a.unionByName(b).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    both, keys = a.unionByName(b), list(by)
+    if bucket is not None:
+        both, keys = both.withColumn("__b", bucket(F.col("__t"))), [*by, "__b"]
+        last = both.groupBy(*keys).agg(F.max_by(F.struct("__t", "__v"), F.when(F.col("__side") == 0, F.struct("__t", "__v"))).alias("__l"))
+        before = F.last("__l", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+        carried = last.withColumn("__l", before).where("__l is not null").select(*by, F.col("__l.__t").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col("__l.__v").alias("__v"), "__b")
+        both = both.unionByName(carried)
+    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
     return out.select("__row.*", *(F.col("__last")[v].alias(v) for v in values))
 
 

@@ -229,6 +229,10 @@ FRAMES: dict[str, tuple[Query, str]] = {
     "agg_decimals": (lambda s, d: t(s, d, "lineitem").groupBy("l_returnflag").agg(F.sum(C("l_extendedprice").cast("decimal(12,2)")).cast("double").alias("s"), F.array_join(A.AGGREGATES["max_n"](C("l_extendedprice").cast("decimal(12,2)"), 4), ",").alias("top"), F.array_join(A.AGGREGATES["min_n"](C("l_extendedprice").cast("decimal(12,2)"), 4), ",").alias("low")), "SELECT l_returnflag, sum(l_extendedprice::DECIMAL(12,2))::DOUBLE AS s, array_to_string(list_reverse_sort(list(l_extendedprice::DECIMAL(12,2)))[1:4], ',') AS top, array_to_string(list_sort(list(l_extendedprice::DECIMAL(12,2)))[1:4], ',') AS low FROM lineitem GROUP BY 1"),
     "agg_percentile_frequency": (lambda s, d: t(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.25), C("event_id") % 3 + 1), 6).alias("p")), "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS p FROM events, (VALUES (1), (2), (3)) x(i) WHERE i <= event_id % 3 + 1 GROUP BY 1"),
     "agg_checksum": (lambda s, d: t(s, d, "orders").agg(A.AGGREGATES["checksum"](C("o_orderkey")).alias("a")).crossJoin(t(s, d, "orders").orderBy("o_totalprice").agg(A.AGGREGATES["checksum"](C("o_orderkey")).alias("b"))).select((C("a") == C("b")).alias("same"), (C("a") != 0).alias("some")), "SELECT true AS same, true AS some"),
+    "agg_top_values": (lambda s, d: A.top_values(t(s, d, "events"), ["user_id"], "event_id", 3).join(A.top_values(t(s, d, "events"), ["user_id"], "event_type", 2, by="event_id", largest=False, name="low"), "user_id").select("user_id", F.array_join("top", ",").alias("top"), F.array_join("low", ",").alias("low")), "SELECT user_id, array_to_string(list_reverse_sort(list(event_id))[1:3], ',') AS top, array_to_string((list(event_type ORDER BY event_id))[1:2], ',') AS low FROM events GROUP BY 1"),
+    "agg_set_union": (lambda s, d: A.set_union(t(s, d, "events").select("event_type", F.array(C("user_id") % 7, C("user_id") % 5 + 3).alias("u")), ["event_type"], "u").select("event_type", F.array_join("u", ",").alias("u")), "SELECT event_type, array_to_string(list_sort(list_distinct(list_concat(list(user_id % 7), list(user_id % 5 + 3)))), ',') AS u FROM events GROUP BY 1"),
+    "agg_bit_days_words": (lambda s, d: A.merge_bit_days(t(s, d, "events").select("user_id", F.when(C("event_id") % 3 > 0, F.array(C("event_id") % 8 + 8, C("event_id") % 64 + 64)).otherwise(F.array(C("event_id") % 16 + 16)).alias("w")), ["user_id"], "w").select("user_id", F.array_join("w", ",").alias("w")), "SELECT user_id, CASE WHEN bool_or(event_id % 3 > 0) THEN (8 + (bit_or(event_id % 8) FILTER (WHERE event_id % 3 > 0))) || ',' ELSE '' END || ((CASE WHEN bool_or(event_id % 3 > 0) THEN 64 ELSE 16 END) + bit_or(CASE WHEN event_id % 3 > 0 THEN event_id % 64 ELSE event_id % 16 END)) AS w FROM events GROUP BY 1"),
+    "as_of_join_buckets": (lambda s, d: ops.as_of_join(t(s, d, "events").where("event_type = 'click'").select("user_id", "event_id"), t(s, d, "events").where("event_type = 'error'").select("user_id", C("event_id").alias("error_id")), ["user_id"], "event_id", "error_id", ["error_id"], bucket=lambda x: F.floor(x / 100)), "SELECT l.user_id, l.event_id, max(r.event_id) AS error_id FROM (SELECT * FROM events WHERE event_type = 'click') l LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') r ON l.user_id = r.user_id AND r.event_id <= l.event_id GROUP BY 1, 2"),
     "agg_bit_days": (lambda s, d: t(s, d, "events").groupBy("event_type").agg(F.array_join(A.AGGREGATES["bit_days_or"](F.array(C("event_id") % 64 + 64)), ",").alias("w")), "SELECT event_type, (64 + bit_or(event_id % 64))::VARCHAR AS w FROM events GROUP BY 1"),
     "agg_empty_input": (lambda s, d: t(s, d, "events").where("event_id < 0").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.size(A.AGGREGATES["set_agg"](C("user_id"))).cast("long").alias("k"), A.AGGREGATES["entropy"](C("user_id")).alias("e")), "SELECT 0::BIGINT AS n, NULL::DOUBLE AS s, 0::BIGINT AS k, 0::DOUBLE AS e"),
 }
