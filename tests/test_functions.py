@@ -198,6 +198,18 @@ def test_hashes_equal_the_built_ins(spark):
     assert sum(r["x"] for r in spark.range(1000, 3000).select(call("spark", "might_contain", F.lit(kept), F.col("id")).alias("x")).collect()) < 100
 
 
+def test_spooky_hash(spark):
+    """Published results."""
+    known = {"": 0x232706FC6BF50919, "hello": 0x3768826AD382E6CA, "       ": 0x8A63CCE34DB3FC9E, "1234567890": 0xD9426F48C5CD219B, "more_than_12_characters_string": 0x3493AE21B95F627C}
+    for text, want in known.items():
+        assert bytes(one(spark, call("presto", "spooky_hash_v2_64", F.lit(text.encode())))).hex() == f"{want:016x}"
+        assert bytes(one(spark, call("presto", "spooky_hash_v2_32", F.lit(text.encode())))).hex() == f"{want & 0xFFFFFFFF:08x}"
+    from tessera.functions.numeric import spooky
+
+    long = [spooky(bytes(range(256)) * 2 + b"x" * k) for k in range(100)]
+    assert len(set(long)) == 100 and all(0 <= x < 2**64 for x in long)
+
+
 def test_aggregates(spark):
     from tessera.functions import aggregates as A
 
