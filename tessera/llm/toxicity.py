@@ -8,7 +8,8 @@ pairs of a word goes to the class's own words, and what it frees there to contin
 classes share. An expression rare in both classes therefore has the same likelihood in both, up to a constant.
 A document's evidence is the difference of the two log-likelihoods per word, over the whole text and over its
 worst windows of WINDOWS words (so a long text does not dilute a short insult), always divided by the
-length. A logistic curve, fitted on labelled rows that the counts have not seen, turns them into a score from 0 to 1.
+length. A logistic curve and then a rising one (isotonic regression), fitted on labelled rows that the counts have not
+seen, turn them into a score from 0 to 1.
 
 Only what differs from the shared counts is kept to score with (Model): words and pairs counted above RARE
 in a class, and the words with such pairs. All other words and pairs have the same likelihood in both
@@ -224,7 +225,32 @@ def kneser_ney(counts: DataFrame, rare: int = RARE) -> Model:
     )
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def isotonic(z: np.ndarray, y: np.ndarray, most: int = 64) -> tuple[list[float], list[float]]:
+    """Knots of the rising curve nearest to y over z (pooled neighbours), of which at most about ``most`` are kept."""
+    blocks: list[list[float]] = []
+    for v, label in sorted(zip(z.tolist(), y.tolist(), strict=True)):
+        blocks.append([v, v, label, 1])
+        while len(blocks) > 1 and (blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3] or blocks[-2][1] == blocks[-1][0]):
+            low, high, total, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0], high, blocks[-1][2] + total, blocks[-1][3] + n]
+    if 2 * len(blocks) > most:
+        blocks = [blocks[k] for k in np.unique(np.linspace(0, len(blocks) - 1, most // 2).astype(int))]
+    x, p = [], []
+    for low, high, total, n in blocks:
+        x += [low] if low == high else [low, high]
+        p += [total / n] * (1 if low == high else 2)
+    return x, p
+
+
+def between(z: Column, x: list[float], p: list[float]) -> Column:
+    """Values of the curve through knots, level beyond its ends."""
+    out = F.when(z <= x[0], F.lit(p[0]))
+    for a, b, u, v in zip(x, x[1:], p, p[1:], strict=False):
+        out = out.when(z <= b, F.lit(u) + (z - a) * ((v - u) / (b - a)))
+    return out.otherwise(F.lit(p[-1]))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights (constant last) by Newton's method."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
@@ -293,7 +319,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFr
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
         w = _logistic((x - mean) / scale, y)
         w = np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum()).tolist()
-        score = 1 / (1 + F.exp(-sum((F.lit(a) * F.col(k) for a, k in zip(w, FEATURES, strict=False)), F.lit(w[-1]))))
+        line = sum((F.lit(a) * F.col(k) for a, k in zip(w, FEATURES, strict=False)), F.lit(w[-1]))
+        # the logistic curve orders what is level on the other one
+        score = 0.999 * between(line, *isotonic(x @ np.array(w[:-1]) + w[-1], y)) + 0.001 / (1 + F.exp(-line))
     else:
         score = F.lit(0.0)
     return scored.withColumn("score", score).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

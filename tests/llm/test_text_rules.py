@@ -177,6 +177,28 @@ def test_kneser_ney_matches_plain_counts(spark):
         assert evidence[k] == pytest.approx(np.log(p(1, h, w) / p(0, h, w)))
 
 
+def test_isotonic_curve(spark):
+    """Of all rising curves (brute force over few places) none is nearer, and Spark's values are those between the knots."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(30):
+        z = np.array(sorted(rng.sample(range(100), 6)), float)
+        y = np.array([rng.randint(0, 1) for _ in z], float)
+        x, p = T.isotonic(z, y)
+        mine = np.interp(z, x, p)
+        levels = sorted({sum(y[i:j]) / (j - i) for i in range(6) for j in range(i + 1, 7)})
+        best = min(sum((a - b) ** 2 for a, b in zip(c, y, strict=True)) for c in itertools.combinations_with_replacement(levels, 6))
+        assert ((mine - y) ** 2).sum() <= best + 1e-9 and (np.diff(p) >= 0).all()
+    x, p = T.isotonic(np.array([1.0, 1.0, 2.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
+    at = [-5.0, 1.0, 1.5, 2.0, 2.5, 3.0, 9.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in at], "z double").coalesce(1).select(T.between(F.col("z"), x, p)).collect()]
+    assert got == pytest.approx(np.interp(at, x, p).tolist())
+
+
 def test_toxicity_on_awkward_rows(spark):
     """Clashing columns, long texts, repeated rows and null ids."""
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (3, None), (3, 1)], "doc_id long, toxic int")
