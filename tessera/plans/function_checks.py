@@ -33,7 +33,7 @@ def text_of_map(c: Column) -> Column:
 #: kind: (Spark, DuckDB) form in which values are compared
 KINDS: dict[str, tuple[Callable[[Column], Column], str]] = {
     "l": (lambda c: c.cast("long"), "({})::BIGINT"),
-    "d": (lambda c: F.round(c.cast("double"), 7), "round(({})::DOUBLE, 7)"),
+    "d": (lambda c: F.round(c.cast("double"), 7) + 0.0, "round(({})::DOUBLE, 7) + 0.0"),  # no negative zero
     "s": (lambda c: c.cast("string"), "({})::VARCHAR"),
     "b": (lambda c: c, "({})"),
     "h": (lambda c: F.hex(c), "hex({})"),
