@@ -193,6 +193,7 @@ def test_secret_stage(spark):
     out = S.stage(spark, docs(spark), "")
     assert out.columns == docs(spark).columns and out.count() == len(awkward())
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
+    assert S.stage(spark, docs(spark, []), "").count() == 0 and S.stage(spark, docs(spark, []).drop("n_chars"), "").columns == docs(spark).drop("n_chars").columns
 
 
 def test_span_helpers():

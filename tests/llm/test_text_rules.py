@@ -242,6 +242,13 @@ def test_url_query_equals_its_sql_on_linked_pages(spark, tmp_path):
     assert {r["verdict"] for r in out.where("rule is null").collect()} == {"allow", "block"}
 
 
+def test_long_urls_and_pages(spark):
+    long = "http://a.org/" + "x/" * 100_000
+    links = "".join(f'<a href="http://h{k}.net/fr/{k}">' for k in range(3000)) + '<a href="' + "y" * 300_000 + '">'
+    out = U.judge_urls(spark.createDataFrame([(1, long, links), (2, "://" * 50_000, None), (None, "http://a.org/q", links)], "page_id long, url string, html string")).collect()
+    assert {(r["page_id"], r["host"], r["verdict"]) for r in out} == {(1, "a.org", "block"), (2, ":", "allow"), (None, "a.org", "block")}
+
+
 def test_targets_without_pages_spread_distrust(spark):
     """The only evidence against a.org is that it links to a blocked page that was not crawled."""
     rows = [(1, "http://a.org/x", '<a href="http://gone.net/fr/1">'), (2, "http://b.org/x", '<a href="http://kept.io/1">')]
