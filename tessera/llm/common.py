@@ -6,6 +6,7 @@ exactly those six ASCII characters, so Python code splits UTF-8 bytes and never
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and broadcasts of steps that nothing refers to any more: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def placed(docs: DataFrame) -> DataFrame:
     """__doc (a struct of all columns of docs) and __place, a string that names the row in its file.
 
