@@ -97,8 +97,8 @@ CHECKS: dict[str, tuple[str | tuple[str, str], list[Line]]] = {
         ("ps", "upper", "s", "upper(t)", "t"), ("ps", "lower", "s", "lower(w)", "w"), ("ps", "length", "l", "length(w)", "w"), ("ps", "concat", "s", "t || '/' || b", "t", "'/'", "b"), ("ps", "trim", "s", "trim(b)", "b"), ("ps", "ltrim", "s", "ltrim(b)", "b"), ("ps", "rtrim", "s", "rtrim(b)", "b"), ("ps", "lpad", "s", "lpad(w, 15, '.')", "w", "15", "'.'"), ("ps", "rpad", "s", "rpad(w, 15, '.')", "w", "15", "'.'"),
         ("ps", "substring", "s", "substr(w, 3, 4)", "w", "3", "4"), ("p", "substr", "s", "substr(w, 2)", "w", "2"), ("s", "left", "s", "left(w, 4)", "w", "4"), ("s", "right", "s", "right(w, 4)", "w", "4"), ("ps", "replace", "s", "replace(t, 'e', 'EE')", "t", "'e'", "'EE'"), ("p", "reverse", "s", "reverse(w)", "w"), ("ps", "translate", "s", "translate(w, 'ae', 'xy')", "w", "'ae'", "'xy'"), ("s", "repeat", "s", "repeat(w, 2)", "w", "2"), ("s", "string_repeat", "s", "repeat(w, 3)", "w", "3"),
         ("s", "initcap", "s", "array_to_string(list_transform(string_split(t, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')", "t"), ("s", "to_title", "s", "array_to_string(list_transform(string_split(t, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')", "t"), ("ps", "chr", "s", "chr(64 + i)", "64L + i"), ("s", "ascii", "l", "ascii(w)", "w"), ("p", "codepoint", "l", "unicode(w)", "w"), ("ps", "locate", "l", "instr(w, 'e')", "'e'", "w"), ("s", "instr", "l", "instr(t, 'in')", "t", "'in'"), ("p", "strpos", "l", "instr(t, 'in')", "t", "'in'"), ("p", "strrpos", "l", "CASE WHEN instr(reverse(w), 'e') > 0 THEN length(w) - instr(reverse(w), 'e') + 1 ELSE 0 END", "w", "'e'"),
-        ("ps", "find_in_set", "l", "coalesce(list_position(string_split('red ring,blue bolt,small widget', ','), w), 0)", "w", "'red ring,blue bolt,small widget'"), ("s", "overlay", "s", "'##' || substr(w, 3)", "w", "'##'", "1"), ("ps", "space", "s", "repeat(' ', i)", "i"), ("s", "empty2null", "s", "nullif(t, '')", "t"), ("s", "bit_length", "l", "bit_length(w)", "w"), 
-        ("ps", "startswith", "b", "starts_with(t, 'red')", "t", "'red'"), ("s", "endswith", "b", "ends_with(t, 'Y')", "t", "'Y'"), ("s", "contains", "b", "contains(t, 'bolt')", "t", "'bolt'"), ("p", "starts_with", "b", "starts_with(t, 'red')", "t", "'red'"), ("p", "ends_with", "b", "ends_with(t, 'Y')", "t", "'Y'"), ("p", "like", "b", "t LIKE '%d_ri%'", "t", "'%d_ri%'"), ("ps", "rlike", "b", "regexp_matches(t, '[xyz]')", "t", "'[xyz]'"), ("p", "regexp_like", "b", "regexp_matches(t, '^s')", "t", "'^s'"),
+        ("ps", "find_in_set", "l", "coalesce(list_position(string_split('red ring,blue anvil,small widget', ','), w), 0)", "w", "'red ring,blue anvil,small widget'"), ("s", "overlay", "s", "'##' || substr(w, 3)", "w", "'##'", "1"), ("ps", "space", "s", "repeat(' ', i)", "i"), ("s", "empty2null", "s", "nullif(t, '')", "t"), ("s", "bit_length", "l", "bit_length(w)", "w"), 
+        ("ps", "startswith", "b", "starts_with(t, 'red')", "t", "'red'"), ("s", "endswith", "b", "ends_with(t, 'Y')", "t", "'Y'"), ("s", "contains", "b", "contains(t, 'widget')", "t", "'widget'"), ("p", "starts_with", "b", "starts_with(t, 'red')", "t", "'red'"), ("p", "ends_with", "b", "ends_with(t, 'Y')", "t", "'Y'"), ("p", "like", "b", "t LIKE '%d_ri%'", "t", "'%d_ri%'"), ("ps", "rlike", "b", "regexp_matches(t, '[xyz]')", "t", "'[xyz]'"), ("p", "regexp_like", "b", "regexp_matches(t, '^s')", "t", "'^s'"),
         ("ps", "regexp_extract", "s", "regexp_extract(b, '#([0-9]+)', 1)", "b", "'#([0-9]+)'", "1"), ("p", "regexp_replace", "s", "regexp_replace(t, '[aeiou]', '*', 'g')", "t", "'[aeiou]'", "'*'"), ("s", "icu_regexp_replace", "s", "regexp_replace(t, '[aeiou]', '*', 'g')", "t", "'[aeiou]'", "'*'"), ("p", "regexp_extract_all", "a", "regexp_extract_all(t, '[a-z]+')", "t", "'[a-z]+'", "0"), ("s", "icu_regexp_extract_all", "a", "regexp_extract_all(t, '[a-z]+')", "t", "'[a-z]+'", "0"), ("s", "icu_regexp_extract", "s", "regexp_extract(b, '#([0-9]+)', 1)", "b", "'#([0-9]+)'", "1"),
         ("s", "icu_regexp", "b", "regexp_matches(t, '[xyz]')", "t", "'[xyz]'"), ("s", "icu_rlike", "b", "regexp_matches(t, 'l{2}')", "t", "'l{2}'"), ("s", "icu_regexp_like", "b", "regexp_matches(t, 'o.t')", "t", "'o.t'"), ("s", "split", "a", "string_split(w, ' ')", "w", "' '"), ("p", "split", "a", "string_split(w, ' ')", "w", "' '"), ("p", "regexp_split", "a", "regexp_split_to_array(w, '[ e]')", "w", "'[ e]'"), ("p", "split_part", "s", "split_part(w, ' ', 2)", "w", "' '", "2"), ("ps", "substring_index", "s", "split_part(w, ' ', 1)", "w", "' '", "1"), ("f", "split_index", "s", "nullif(string_split(w, ' ')[2], '')", "w", "' '", "1"),
         ("ps", "str_to_map", "m", "MAP {'a': i::VARCHAR, 'b': trim(b)}", "concat('a=', i, ';b=', trim(b))", "';'", "'='"), ("p", "split_to_map", "m", "MAP {'a': i::VARCHAR, 'b': trim(b)}", "concat('a=', i, ';b=', trim(b))", "';'", "'='"), ("s", "concat_ws", "s", "concat_ws('-', t, w)", "'-'", "t", "w"), ("p", "concat_ws_spark", "s", "concat_ws('-', t, w)", "'-'", "t", "w"), ("p", "printf", "s", "'<' || i || '>'", "'<%d>'", "i"), ("s", "levenshtein", "l", "levenshtein(t, b)", "t", "b"), ("p", "levenshtein_distance", "l", "levenshtein(b, t)", "b", "t"),
