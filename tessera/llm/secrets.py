@@ -19,7 +19,6 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import functools
-import math
 import random
 import re
 from bisect import bisect_left, bisect_right
