@@ -9,9 +9,9 @@ Light sets (up to a boundary) enumerate fixed-size subsets: a set of n may lack
 e = n * (100 - percent) // 100 shingles of what it shares with a partner, so both emit that shared
 subset among their subsets of n, ..., n - e shingles. Heavy sets are scanned in inverted lists of
 shingles: a set is listed under its first e + 1 shingles in one order of all shingles, in which two
-sets that link have at least one such shingle in common. The order puts shingles that are frequent in a sample
-of documents last, so that passages which many documents share make long lists only for documents that
-hold little else; the order, and so the sample, changes what is scanned and never what links. Lists are kept apart
+sets that link have at least one such shingle in common. The order puts the shingles that most documents hold
+last, counted over all documents, so that passages which many documents share make long lists only for documents
+that hold little else; the order changes what is scanned and never what links. Lists are kept apart
 by class of size, and a set near the top of its class is listed in the next one, too. Light sets that a
 heavy one may link with are also listed. The boundary minimises what both ways emit and scan,
 counted over the sizes of all nodes.
@@ -61,9 +61,7 @@ STAGE_PERCENT = 80
 GROUP = 500
 #: Rows of small lists that are compared in one group.
 LOT = 5_000
-#: Documents from which frequent shingles are counted: at least so many, and so many times the root of their number.
-SAMPLE, SAMPLE_ROOT = 5_000, 20
-#: A shingle is frequent from so many documents of the sample on; at most so many shingles are.
+#: A shingle is frequent from so many documents on; at most so many shingles are.
 FREQUENT, MOST_FREQUENT = 3, 1 << 20
 #: A light set is never larger; subsets of larger ones would be too many.
 MOST_LIGHT = 40
@@ -141,8 +139,15 @@ def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
-def signatures(sets: list[np.ndarray], light: int, percent: int = PERCENT, frequent: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the subsets and lists of sets, and the place of the set that each belongs to. frequent: shingles from the most frequent on, that come last in the order."""
+def ranks(frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted frequent shingles and the rank of each, 1 for the last of ``frequent``."""
+    known = np.argsort(frequent)
+    return frequent[known], (len(frequent) - known).astype(np.int32)
+
+
+def signatures(sets: list[np.ndarray], light: int, percent: int = PERCENT, frequent: np.ndarray | tuple[np.ndarray, np.ndarray] = _NONE) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the subsets and lists of sets, and the place of the set that each belongs to. frequent: shingles from the most frequent on, that come last in the order, or their ranks()."""
+    known, ranked = frequent if isinstance(frequent, tuple) else ranks(frequent)
     names, owners = [], []
     for k, s in enumerate(sets):
         n = len(s)
@@ -159,14 +164,13 @@ def signatures(sets: list[np.ndarray], light: int, percent: int = PERCENT, frequ
     if listed:
         size = np.array([len(sets[k]) for k in listed])
         s = np.concatenate([sets[k] for k in listed])
-        if len(frequent):
-            known = np.argsort(frequent)
-            place = np.minimum(np.searchsorted(frequent, s, sorter=known), len(frequent) - 1)
-            rank = np.where(frequent[known[place]] == s, len(frequent) - known[place], 0)  # 0: not frequent
+        if len(known):
+            place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            rank = np.where(known[place] == s, ranked[place], 0)  # 0: not frequent
         first = np.cumsum(size) - size
         for k, lo, n in zip(listed, first.tolist(), size.tolist(), strict=True):
             want, x = missing(n, percent) + 1, s[lo : lo + n]
-            if len(frequent) and rank[lo : lo + n].any():
+            if len(known) and rank[lo : lo + n].any():
                 of = rank[lo : lo + n]
                 rare = x[of == 0][:want]
                 x = rare if len(rare) == want else x[np.lexsort((x, of))]
@@ -271,28 +275,56 @@ def nodes(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> tuple[Dat
         seed += 1
 
 
-def frequent_shingles(spark: SparkSession, docs: DataFrame, total: int, width: int = WIDTH, held: int = HELD) -> np.ndarray:
-    """At most MOST_FREQUENT shingles that FREQUENT or more documents of a sample hold, from the most frequent on."""
-    share = min(1.0, max(SAMPLE, SAMPLE_ROOT * math.sqrt(total)) / max(total, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * share))
+def frequent_shingles(spark: SparkSession, docs: DataFrame, entries: int, width: int = WIDTH, held: int = HELD) -> np.ndarray:
+    """Shingles that FREQUENT or more of all documents hold, from the most frequent on.
+
+    A task counts up to ``held`` shingles at a time and sends them as packed arrays, one row for each of about
+    entries / held ranges of shingles, where the counts are added up. Ranges share MOST_FREQUENT alike: one with
+    more frequent shingles than that gives its most frequent ones.
+    """
+    ranges = max(2, -(-entries // held))
+    wide = np.uint64(2**64 // ranges + 1)
+    most = max(1, MOST_FREQUENT // ranges)
+
+    def row(key: int, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([x.astype("<u8").tobytes()], pa.binary()), pa.array([n.astype("<u4").tobytes()], pa.binary())], ["range", "shingles", "counts"])
 
     def count(parts: Iterator[tuple[list, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         lots: list[np.ndarray] = []
+        size = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             x, n = np.unique(np.concatenate(lots), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n, pa.int64())], ["shingle", "n"])
+            border = np.searchsorted(x // wide, np.arange(ranges + 1, dtype=np.uint64))
+            for k in np.flatnonzero(np.diff(border)).tolist():
+                part = slice(border[k], border[k + 1])
+                yield row(k, x[part], n[part])
 
         for _, sets in parts:
             lots += sets
-            if sum(map(len, lots)) > held:
-                yield flush()
-                lots = []
-        if lots:
-            yield flush()
+            size += sum(map(len, sets))
+            if size > held:
+                yield from flush()
+                lots, size = [], 0
+        if size:
+            yield from flush()
 
-    counts = _sets(spark, some, count, "shingle long, n long", width).groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    return counts.orderBy(F.col("n").desc(), "shingle").limit(MOST_FREQUENT).select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+    def meet(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("shingles").to_pylist()), "<u8")
+        n = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
+        order = np.argsort(x)
+        x, n = x[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        x, n = x[first], np.add.reduceat(n, first)
+        x, n = x[n >= FREQUENT], n[n >= FREQUENT]
+        order = np.lexsort((x, -n))[:most]
+        return pa.table({"shingles": pa.array([x[order].astype("<u8").tobytes()], pa.binary()), "counts": pa.array([n[order].astype("<i8").tobytes()], pa.binary())})
+
+    lots = _sets(spark, docs, count, "range long, shingles binary, counts binary", width)
+    found = lots.groupBy("range").applyInArrow(meet, "shingles binary, counts binary").toArrow()  # at most MOST_FREQUENT shingles
+    x = np.frombuffer(b"".join(found.column("shingles").to_pylist()), "<u8").astype(np.uint64)
+    n = np.frombuffer(b"".join(found.column("counts").to_pylist()), "<i8")
+    return x[np.lexsort((x.view(np.int64), -n))]
 
 
 def list_members(spark: SparkSession, docs: DataFrame, seed: int, light: int, entries: int, frequent: np.ndarray = _NONE, percent: int = PERCENT, width: int = WIDTH, held: int = HELD) -> DataFrame:
@@ -304,7 +336,7 @@ def list_members(spark: SparkSession, docs: DataFrame, seed: int, light: int, en
     lot is dealt evenly over as many other groups.
     """
     ranges = max(2, -(-entries // held))
-    sent = spark.sparkContext.broadcast(frequent)
+    sent = spark.sparkContext.broadcast(ranks(frequent))
     wide = np.uint64(2**64 // ranges + 1)
 
     def row(key: int, *arrays: np.ndarray) -> pa.RecordBatch:
@@ -504,7 +536,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
     sized = known.groupBy(F.least("n", F.lit(MOST_LIGHT * 100 // percent + 2)).alias("n")).agg(F.count(F.lit(1)).alias("nodes"))
     light = boundary({r["n"]: r["nodes"] for r in sized.collect()}, percent)  # at most MOST_LIGHT * 100 / percent + 2 rows
     total, shingled = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    frequent = frequent_shingles(spark, docs, total, width, held)
+    frequent = frequent_shingles(spark, docs, shingled, width, held)
+    forget(spark)
     members = list_members(spark, docs, seed, light, total + shingled * (100 - percent) // 100, frequent, percent, width, held)
     forget(spark)
     pairs = pivot_pairs(members, known, percent)

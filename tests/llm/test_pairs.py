@@ -224,6 +224,19 @@ def test_frequent_shingles_come_last(spark):
     check_components(spark, rows)
 
 
+@pytest.mark.parametrize("held", [2_000, J.HELD])
+def test_frequent_shingles_are_counted_over_all_documents(spark, held):
+    """More documents than a sample once held: passages of a few of them are found, and each place in the order follows the whole count."""
+    passages = {n: pa.array([f"r{n} s{n} t{n}"]) for n in (2, 3, 4, 7, 40)}
+    texts = [f"u{k} v{k} w{k}" for k in range(12_000)]
+    for at, (n, passage) in enumerate(passages.items()):
+        for k in range(n):
+            texts[(at + 1) * 37 + k * 251] = passage[0].as_py()
+    rows = [(k, t, "en", "a", 1, "1", "x", None) for k, t in enumerate(texts)]
+    frequent = J.frequent_shingles(spark, docs(spark, rows).select("doc_id", "text", "source"), len(rows), held=held)
+    assert frequent.tolist() == [int(J.shingles(passages[n])[0][0]) for n in (40, 7, 4, 3)]
+
+
 @pytest.mark.parametrize("frequent", [0, 40])
 def test_signatures_meet_whatever_is_frequent(frequent):
     rng = np.random.default_rng(frequent)
