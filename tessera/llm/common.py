@@ -6,12 +6,16 @@ exactly those six ASCII characters, so Python code splits UTF-8 bytes and never
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,9 +60,34 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files and broadcasts of steps that nothing refers to any more: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files and broadcasts of steps that nothing refers to any more: it does so when the driver collects its garbage.
+
+    Python's references to the driver's objects are let go in another thread, after a first collection; a second one finds them gone.
+    """
+    for pause in (0.3, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can; Python workers outlive their tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work (for mapInArrow) that gives back at its end what it no longer holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def placed(docs: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, forget, mix, placed, read, workers_import
+from tessera.llm.common import cut, forget, lean, mix, placed, read, workers_import
 from tessera.llm.graph import SALTS, components, forest
 from tessera.llm.words import KEYS as _K
 from tessera.llm.words import buffer_of, word_hashes
@@ -255,7 +255,7 @@ def _sets(spark: SparkSession, docs: DataFrame, work, schema: str, width: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work((b.columns[:1] + b.columns[2:], shingles(b.column(1), width)) for whole in batches for b in parts(whole))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def nodes(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, int]:
@@ -449,7 +449,7 @@ def pivot_pairs(members: DataFrame, known: DataFrame, percent: int = PERCENT) ->
                 apart[k] = np.bitwise_count(folded(x, least) ^ folded(y, least)).sum()
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["node", "pivot"]).filter(pa.array(may_link(n, m, apart, percent)))
 
-    return cut(pairs.select("node", "pivot", "n", "bits", "m", "others").mapInArrow(bound, "node long, pivot long"))
+    return cut(pairs.select("node", "pivot", "n", "bits", "m", "others").mapInArrow(lean(bound), "node long, pivot long"))
 
 
 def compare_pivots(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -462,7 +462,7 @@ def compare_pivots(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
             keep = [linked(np.frombuffer(i.as_buffer(), np.uint64), np.frombuffer(j.as_buffer(), np.uint64), percent) for i, j in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([node, pivot], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(pairs.select("node", "pivot", "x", "y").mapInArrow(compare, "a long, b long"))
+    return cut(pairs.select("node", "pivot", "x", "y").mapInArrow(lean(compare), "a long, b long"))
 
 
 def open_pairs(members: DataFrame, joined: DataFrame, known: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
@@ -536,6 +536,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
     sized = known.groupBy(F.least("n", F.lit(MOST_LIGHT * 100 // percent + 2)).alias("n")).agg(F.count(F.lit(1)).alias("nodes"))
     light = boundary({r["n"]: r["nodes"] for r in sized.collect()}, percent)  # at most MOST_LIGHT * 100 / percent + 2 rows
     total, shingled = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    forget(spark)
     frequent = frequent_shingles(spark, docs, shingled, width, held)
     forget(spark)
     members = list_members(spark, docs, seed, light, total + shingled * (100 - percent) // 100, frequent, percent, width, held)

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, read, words, written
+from tessera.llm.common import cut, placed, read, words
 
 RULES = ("symbols", "dup_lines", "repeats", "stutter")
 CUTOFFS = (900, 700, 500, 400, 300, 200, 150, 100, 75, 50, 30, 20, 10)
@@ -154,10 +154,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go; the columns of docs stay."""
     labels = read(spark, sf_dir, "labels")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")).select("__doc", "__doc.doc_id", "__doc.lang", "__doc.text")
-    # texts are measured once and written with what was measured
-    measured = written(measure(whole).select("__doc", "doc_id", "lang", content(), *METRICS))
-    return judge(measured, cut(certify(measured, labels))).where("kept").select("__doc.*")
+    rows = placed(docs)
+    # texts are measured once; what was measured is written without them and finds its rows again by their places
+    measured = cut(measure(rows.select("__place", "__doc.doc_id", "__doc.lang", "__doc.text")).select("__place", "doc_id", "lang", content(), *METRICS))
+    kept = judge(measured, cut(certify(measured, labels))).where("kept").select(F.col("__place").alias("__kept"))
+    return rows.join(kept, F.col("__place") == F.col("__kept"), "left_semi").select("__doc.*")
 
 
 _W = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

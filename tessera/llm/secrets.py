@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, workers_import
+from tessera.llm.common import lean, read, workers_import
 from tessera.llm.spans import Span, apart, digest, in_order, joined, redact
 
 KINDS = ("assign", "access", "hex", "secret")
@@ -557,8 +557,9 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = list(b.columns)
             columns[place] = pa.array([t and redact(t, spans) for t, (_, spans) in zip(texts, find(texts, fitted), strict=True)], columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+        table.cache_clear()  # the next task has a field of its own
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)
 
 
 def op7_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
