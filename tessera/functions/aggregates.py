@@ -7,6 +7,7 @@ DataFrame operators that explode, aggregate (partially, before the shuffle) and
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,6 +136,29 @@ def top_values(df: DataFrame, keys: Sequence[str], x: str, n: int, by: str | Non
     return few.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(x).alias("v")))), lambda s: s["v"]).alias(name))
 
 
+def quantile(df: DataFrame, keys: Sequence[str], x: str, p: float, name: str = "quantile") -> DataFrame:
+    """Exact quantile of few, large groups, interpolated where it falls between two values (percentile, quantile_cont).
+
+    A sketch brackets it, and only the values of the part of a group that holds its rank are put in order, each with its count;
+    a poor bracket takes longer and changes nothing in the result. Groups without a value are left out.
+    """
+    same = lambda other: reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys))
+    named = lambda g, other: F.broadcast(g.select(*(F.col(k).alias(f"{other}{k}") for k in keys), *(c for c in g.columns if c not in keys)))  # noqa: E731  a row per group
+    rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"))
+    ends = rows.groupBy(*keys).agg(F.percentile_approx("__x", [max(p - 0.001, 0.0), min(p + 0.001, 1.0)], 10_000).alias("__ends"))
+    part = F.when(F.col("__x") < F.col("__ends")[0], 0).when(F.col("__x") <= F.col("__ends")[1], 1).otherwise(2)
+    placed = rows.join(named(ends, "__a"), same("__a")).select(*keys, "__x", part.alias("__part"))
+    sizes = placed.groupBy(*keys).agg(F.count_if(F.col("__part") == 0).alias("__n0"), F.count_if(F.col("__part") <= 1).alias("__n1"), ((F.count(F.lit(1)) - 1) * F.lit(float(p))).alias("__at"))
+    holds = lambda rank: F.when(rank < F.col("__n0"), 0).when(rank < F.col("__n1"), 1).otherwise(2)
+    ranks = sizes.withColumns({"__low": F.floor("__at"), "__high": F.ceil("__at")}).withColumns({"__first": holds(F.col("__low")), "__last": holds(F.col("__high"))})
+    ranks = ranks.withColumn("__before", F.when(F.col("__first") == 0, F.lit(0)).when(F.col("__first") == 1, F.col("__n0")).otherwise(F.col("__n1")))
+    held = placed.join(named(ranks, "__b"), same("__b") & F.col("__part").between(F.col("__first"), F.col("__last")))
+    counted = held.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"), *(F.any_value(c).alias(c) for c in ("__before", "__low", "__high", "__at")))
+    passed = F.col("__before") + F.sum("__n").over(Window.partitionBy(*keys).orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    around = counted.withColumn("__passed", passed).groupBy(*keys).agg(F.min(F.when(F.col("__passed") > F.col("__low"), F.col("__x"))).alias("__l"), F.min(F.when(F.col("__passed") > F.col("__high"), F.col("__x"))).alias("__h"), F.any_value(F.col("__at") - F.col("__low")).alias("__f"))
+    return around.select(*keys, F.when(F.col("__l") == F.col("__h"), F.col("__l")).otherwise((1 - F.col("__f")) * F.col("__l") + F.col("__f") * F.col("__h")).alias(name))
+
+
 def set_union(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """The different elements of a group's arrays, in order: equal ones are dropped before anything is collected."""
     return df.select(*keys, F.explode(column).alias("__e")).distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("__e")).alias(column))

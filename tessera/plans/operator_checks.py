@@ -62,12 +62,18 @@ def field_aggregates(spark, d):
 
 
 def sketches(s, d):
-    g = t(s, d, "events").groupBy("event_type")
-    n, size = F.count_distinct("event_id"), F.max("value") - F.min("value")
-    some = [x for name in ("approx_distinct", "cpc", "hll", "theta") for x in [(F.abs(A.AGGREGATES[name](C("event_id")) - n) <= 0.08 * n).alias(name)]]
-    exact = F.percentile("value", F.lit(0.5))
-    some += [(F.abs(f(C("value")) - exact) <= 0.05 * size).alias(name) for name, f in (("kll", lambda x: A.AGGREGATES["kll"](x, 0.5)), ("quantiles", lambda x: A.AGGREGATES["quantiles"](x, 0.5)), ("req", lambda x: A.AGGREGATES["req"](x, 0.5)), ("approx_percentile", lambda x: A.AGGREGATES["approx_percentile"](x, F.lit(0.5))))]
-    return g.agg(n.alias("n"), F.round(exact, 6).alias("median"), *some)
+    """Sketches beside exact figures, which are made apart: with a distinct count in one aggregation Spark keeps all sketches for each value."""
+    e = t(s, d, "events")
+    ids = e.select("event_type", "event_id").distinct().groupBy("event_type").agg(F.count("event_id").alias("n"))
+    exact = A.quantile(e, ["event_type"], "value", 0.5, "exact")
+    distinct = ("approx_distinct", "cpc", "hll", "theta")
+    middle = {name: A.AGGREGATES[name](C("value"), 0.5) for name in ("kll", "quantiles", "req")} | {"approx_percentile": A.AGGREGATES["approx_percentile"](C("value"), F.lit(0.5))}
+    made = e.groupBy("event_type").agg((F.max("value") - F.min("value")).alias("size"), *(A.AGGREGATES[name](C("event_id")).alias(name) for name in distinct), *(f.alias(name) for name, f in middle.items()))
+    for k, more in enumerate((ids, exact)):  # a row per type
+        more = more.withColumnRenamed("event_type", f"type{k}")
+        made = made.join(F.broadcast(more), C("event_type").eqNullSafe(C(f"type{k}")), "left")
+    near = [(F.abs(C(name) - C("n")) <= 0.08 * C("n")).alias(name) for name in distinct] + [(F.abs(C(name) - C("exact")) <= 0.05 * C("size")).alias(name) for name in middle]
+    return made.select("event_type", "n", F.round("exact", 6).alias("median"), *near)
 
 
 def sketch_unions(s, d):

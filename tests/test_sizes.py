@@ -6,6 +6,7 @@ from pathlib import Path
 from compare import differences
 from pyspark.sql import functions as F
 
+from tessera.functions import aggregates
 from tessera.plans import catalog
 from tessera.sources import TABLES
 
@@ -35,3 +36,26 @@ def test_partial_update_of_a_key_without_a_group_key(spark, tmp_path):
     rows = [(1, 1, "view", 1.0), (2, 1, "click", 2.0), (7, 2, "view", 3.0), (8, 2, "click", 4.0), (14, 3, None, 5.0), (15, 3, "view", None)]
     d = beside(tmp_path, events=events(spark, rows))
     assert differences(catalog.QUERIES["merge_partial_update"](spark, d), catalog.ORACLE_SQL["merge_partial_update"], d) == []
+
+
+def test_quantile_is_exact_whatever_the_groups_hold(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("g"), F.col("id") % 5)).alias("g"),
+        F.when(F.col("id") % 7 > 0, F.when(F.col("id") % 5 == 1, F.lit(2.5)).when(F.col("id") % 5 == 2, F.col("id") % 2 * 1e9).when(F.col("id") % 5 == 3, -F.pow(F.lit(1.01), F.col("id"))).otherwise(F.col("id") * 37 % 1000 / 8)).alias("x"),
+    )
+    df = df.unionByName(spark.createDataFrame([("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None)], "g string, x double"))
+    for p in (0.0, 0.25, 0.5, 0.999, 1.0):
+        want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("x", F.lit(p)).alias("q")).collect() if r["q"] is not None}
+        got = {r["g"]: r["q"] for r in aggregates.quantile(df, ["g"], "x", p, "q").collect()}
+        assert got.keys() == want.keys() and all(abs(got[g] - want[g]) <= 1e-12 * abs(want[g]) for g in want)
+
+
+def test_sketches_are_not_kept_for_each_value(spark):
+    plan = catalog.QUERIES["agg_sketches"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "event_id" in line.split("functions=")[0] and "sketch" in line]
+
+
+def test_sketches_with_missing_types_ids_and_values(spark, tmp_path):
+    rows = [(i % 40, i % 3, "view" if i % 2 else None, None if i % 9 == 0 else i * 1.5) for i in range(200)] + [(None, 1, "click", 1.0), (None, 1, "click", 2.0), (3, 1, "click", 2.0)]
+    d = beside(tmp_path, events=events(spark, rows))
+    assert differences(catalog.QUERIES["agg_sketches"](spark, d), catalog.ORACLE_SQL["agg_sketches"], d) == []
