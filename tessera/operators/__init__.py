@@ -212,6 +212,16 @@ def replicate_nulls_and_any(df: DataFrame, keys: Sequence[str], n: int, partitio
     return numbered.join(F.broadcast(some)).withColumn(partition, F.explode(targets)).drop("__id", "__null", "__any").repartitionByRange(n, partition)
 
 
+#: Rows that a task gets on average where a whole table is dealt out.
+ROWS = 1_000_000
+
+
+def parts(df: DataFrame, least: int, rows: int = ROWS) -> int:
+    """Partitions to deal df over: least, and more for a table of more than least * rows rows, so that a task's share does not grow with
+    the input. Counts df's rows, which takes only the footers of a Parquet scan without filters."""
+    return max(least, -(-df.count() // rows))
+
+
 def partition_by_hash(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *keys)
 

@@ -143,7 +143,8 @@ def arrow_table(s, d):
 
 def sorted_once(s, d):
     """Aggregation over rows that are dealt and sorted by their key: no exchange or sort is added (tests look at the plan)."""
-    rows = ops.partition_by_hash(t(s, d, "lineitem"), 4, ["l_orderkey"]).sortWithinPartitions("l_orderkey")
+    lines = t(s, d, "lineitem")
+    rows = ops.partition_by_hash(lines, ops.parts(lines, 4), ["l_orderkey"]).sortWithinPartitions("l_orderkey")
     return ops.streaming_aggregate(rows, ["l_orderkey"], n=F.count(F.lit(1)), first=F.min("l_linenumber"))
 
 

@@ -1,11 +1,14 @@
 """Queries on rows that the small tables do not hold, each beside its SQL, and operators whose share for a task must not grow with the input."""
 
 import datetime
+import re
 from pathlib import Path
 
+import pytest
 from compare import differences
 from pyspark.sql import functions as F
 
+from tessera import operators
 from tessera.functions import aggregates
 from tessera.plans import catalog
 from tessera.sources import TABLES
@@ -59,3 +62,18 @@ def test_sketches_with_missing_types_ids_and_values(spark, tmp_path):
     rows = [(i % 40, i % 3, "view" if i % 2 else None, None if i % 9 == 0 else i * 1.5) for i in range(200)] + [(None, 1, "click", 1.0), (None, 1, "click", 2.0), (3, 1, "click", 2.0)]
     d = beside(tmp_path, events=events(spark, rows))
     assert differences(catalog.QUERIES["agg_sketches"](spark, d), catalog.ORACLE_SQL["agg_sketches"], d) == []
+
+
+def shares(spark, name: str, monkeypatch) -> list[int]:
+    """Partitions that a query deals its rows over, for tasks of a million rows and of 100."""
+    found = []
+    for rows in (1_000_000, 100):
+        monkeypatch.setattr(operators.parts, "__defaults__", (rows,))
+        plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        found.append(max(int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM|SelectedBucketsCount: (\d+)", plan) for n in n if n))
+    return found
+
+
+@pytest.mark.parametrize(("name", "want"), [("streaming_aggregate", [4, 60]), ("sorted_aggregation", [4, 60]), ("partitioners", [5, 15])])
+def test_rows_of_a_task_do_not_grow_with_the_table(spark, monkeypatch, name, want):
+    assert shares(spark, name, monkeypatch) == want
