@@ -112,10 +112,11 @@ def scores():
 def buckets(s, d):
     from tessera.plans.catalog import folder, fresh
 
-    name = fresh("bucketed")
-    sources.write_bucketed(t(s, d, "orders").select("o_orderkey", "o_custkey"), name, ["o_custkey"], 4, path=f"{folder(s)}/{name}")
+    name, orders = fresh("bucketed"), t(s, d, "orders")
+    n = ops.parts(orders, 4)
+    sources.write_bucketed(orders.select("o_orderkey", "o_custkey"), name, ["o_custkey"], n, path=f"{folder(s)}/{name}")
     rows = sources.with_bucket(s.table(name)).groupBy("o_custkey").agg(F.count_distinct("$bucket").alias("buckets"), F.count(F.lit(1)).alias("n"), F.max("$bucket").alias("b"))
-    return rows.select("o_custkey", "buckets", "n", C("b").between(0, 3).alias("inside"))
+    return rows.select("o_custkey", "buckets", "n", C("b").between(0, n - 1).alias("inside"))
 
 
 def dynamic_overwrite(s, d):

@@ -74,6 +74,6 @@ def shares(spark, name: str, monkeypatch) -> list[int]:
     return found
 
 
-@pytest.mark.parametrize(("name", "want"), [("streaming_aggregate", [4, 60]), ("sorted_aggregation", [4, 60]), ("partitioners", [5, 15])])
+@pytest.mark.parametrize(("name", "want"), [("streaming_aggregate", [4, 60]), ("sorted_aggregation", [4, 60]), ("partitioners", [5, 15]), ("bucketed_join", [4, 60]), ("bucket_column", [4, 15])])
 def test_rows_of_a_task_do_not_grow_with_the_table(spark, monkeypatch, name, want):
     assert shares(spark, name, monkeypatch) == want
